@@ -224,7 +224,8 @@ def yin(frame: np.ndarray, low: float = PITCH_MIN_HZ, high: float = PITCH_MAX_HZ
         lag = min_lag + int(norm[min_lag : max_lag + 1].argmin())
         if norm[lag] > 0.6:
             return 0.0, 0.0
-    if min_lag > 2 and norm[2:min_lag].min() <= norm[lag] and norm[2:min_lag].min() < threshold:
+    # a shorter period explains the frame as well, up to rounding
+    if min_lag > 2 and norm[2:min_lag].min() <= norm[lag] + 1e-6 and norm[2:min_lag].min() < threshold:
         return 0.0, 0.0
     shift = 0.0
     if 0 < lag < max_lag:

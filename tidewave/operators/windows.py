@@ -177,13 +177,13 @@ def features(windows: DataFrame, key: str = "window_id", samples: str = "samples
 def detect_events(windows: DataFrame, triggers: list[str], **options) -> DataFrame:
     """(stream_id, start, stop, type, confidence, syllables): events of streams of (stream_id, t, samples, label, score) windows, in order of t."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         d = EventDetector(triggers, HUMAN_VOICE_CLASSES, **options)
         out = []
         for r in rows.sort_values("t").itertuples():
             out += d.push(r.t, np.asarray(r.samples), [(r.label, r.score)])
         out += d.flush()
-        return pd.DataFrame([(key[0], e["start"], e["end"], e["type"], e["confidence"], e["syllables"]) for e in out], columns=["stream_id", "start", "stop", "type", "confidence", "syllables"])
+        return pd.DataFrame([(rows["stream_id"].iloc[0], e["start"], e["end"], e["type"], e["confidence"], e["syllables"]) for e in out], columns=["stream_id", "start", "stop", "type", "confidence", "syllables"])
 
     return windows.groupBy("stream_id").applyInPandas(run, "stream_id string, start double, stop double, type string, confidence double, syllables int")
 
