@@ -9,6 +9,7 @@ into its text costs, wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewave.llm.textkernel import text_slices
 
 #: The bounded sample that is learned from: rows per language, and characters taken of each row's whole text.
-SAMPLE_ROWS, SAMPLE_CHARS, TOTAL_CHARS = 160, 1500, 60_000
+SAMPLE_ROWS, SAMPLE_CHARS, TOTAL_CHARS = 160, 1500, 40_000
 #: Texts are parsed in blocks of so many characters, so that a long one runs side by side with others.
 BLOCK_CHARS = 512
 #: Phrases of the winner may not be shorter than this on average; below it the text is in no learned language.
@@ -70,9 +71,13 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Languages, the code of each character, and an automaton per language."""
+    """Languages, the code of each character, and an automaton per language.
+
+    Only the labelled texts are sent to workers, each of which builds the tables once: they are some hundred times as large.
+    """
 
     def __init__(self, texts: dict[str, str]) -> None:
+        self.texts = texts
         self.languages = sorted(texts)
         alphabet = sorted(set("".join(texts.values())) | {" "})
         self.size = len(alphabet) + 2  # 1: a letter that no language has
@@ -80,15 +85,18 @@ class Model:
         for i, c in enumerate(alphabet):
             self.code[ord(c)] = i + 2
         self.space = int(self.code[32])
-        self.tables, self.bits = [], []
+        tables, self.bits = [], []
         for name in self.languages:
             codes = [int(self.code[ord(c)]) for c in texts[name]]
-            self.tables.append(SuffixAutomaton(codes, self.size).next)
+            tables.append(SuffixAutomaton(codes, self.size).next)
             self.bits.append(float(np.log2(len(codes) + 2)))
-        first = np.cumsum([0, *(len(t) for t in self.tables[:-1])]).astype(np.int32)
+        first = np.cumsum([0, *(len(t) for t in tables[:-1])]).astype(np.int32)
         self.roots = first + 1
         # one table of flat offsets for all; "no transition" stays 0
-        self.table = np.concatenate([np.where(t > 0, t + f, 0) for t, f in zip(self.tables, first, strict=True)]).ravel().astype(np.int32) if self.tables else np.zeros(0, np.int32)
+        self.table = np.concatenate([np.where(t > 0, t + f, 0) for t, f in zip(tables, first, strict=True)]).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+
+    def __reduce__(self):
+        return _built, (tuple(sorted(self.texts.items())),)
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrases (texts x languages) of concatenated code sequences; ``starts`` has one entry more than texts."""
@@ -158,6 +166,11 @@ class Model:
         return names, np.array(scores), np.array(means)
 
 
+@lru_cache(maxsize=2)
+def _built(texts: tuple[tuple[str, str], ...]) -> Model:
+    return Model(dict(texts))
+
+
 _letter_table: list[np.ndarray] = []
 
 
