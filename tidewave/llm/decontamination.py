@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         hits = hits.select("rid", F.lit(k).alias("k"), "n", start.alias("start")).distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return spark.createDataFrame([], docs.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("rid", "long").add("start", "int").add("hamming", "int").add("similarity", "double"))
+        kind = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+        names = ", ".join(f"{n} {t.simpleString()}" for n, t in kind.items())
+        return spark.createDataFrame([], f"{names}, rid long, start int, hamming int, similarity double")
     windows = cut(found)
     slot = F.pmod("rid", F.lit(SLOTS))
     some = F.broadcast(windows.select(slot.alias("slot")).distinct())  # SLOTS numbers at most
