@@ -20,6 +20,8 @@ from tidewave.llm.textkernel import text_slices
 
 #: The bounded sample that is learned from: rows per language, and characters taken of each row's whole text.
 SAMPLE_ROWS, SAMPLE_CHARS, TOTAL_CHARS = 160, 1500, 40_000
+#: Parts that each language's texts are dealt to by their hash while the sample is chosen.
+SALTS = 64
 #: Texts are parsed in blocks of so many characters, so that a long one runs side by side with others.
 BLOCK_CHARS = 512
 #: Phrases of the winner may not be shorter than this on average; below it the text is in no learned language.
@@ -187,8 +189,12 @@ def learn(rows: DataFrame) -> Model:
     SAMPLE_CHARS characters from an inner place; TOTAL_CHARS at most of a language.
     """
     x = rows.select("text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("text", F.lit(11)))
-    x = x.groupBy("lang", "h").agg(F.first(F.substring("text", 1, 20 * SAMPLE_CHARS)).alias("text"))
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS)
+    # only hashes are shuffled to choose the sample, first in SALTS parts of a language: the last step sees SAMPLE_ROWS of each part at most
+    chosen = x.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SALTS)))
+    for by in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS)
+    # SAMPLE_ROWS hashes of each language: small enough to broadcast
+    x = x.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first(F.substring("text", 1, 20 * SAMPLE_CHARS)).alias("text"))
     pieces: dict[str, list[str]] = {}
     for row in x.select("lang", "h", "text").orderBy("lang", "h").collect():
         text = _fold(row.text)
