@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -155,6 +156,24 @@ def test_line_links_against_brute_force(spark):
     assert all(comp[a] == comp[b] for a, b in want)
 
 
+def test_lines_similar_to_some_of_their_group_only(spark):
+    rng = random.Random(3)
+    rows, links = [], []
+    for group in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        family = []
+        for _ in range(15):
+            w = list(base)
+            for at in rng.sample(range(90), rng.choice((1, 2))):
+                w[at] = f"x{rng.randrange(10**6)}"
+            family.append((len(rows), " ".join(w)))
+            rows.append((family[-1][0], family[-1][1]))
+        sets = {i: {line[m.start() : m.start() + 16] for m in re.finditer(r"(?<!\S)\S", line)} for i, line in family}
+        links += [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 400 < len(links) < 40 * 105 and sum(comp[a] == comp[b] for a, b in links) >= 0.98 * len(links)
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     rows = mixing.op4(docs).toPandas()
