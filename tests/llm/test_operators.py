@@ -349,3 +349,46 @@ def test_queries_are_registered():
     names = llm.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(llm.oracle_sql()) <= set(names)
     assert isinstance(pa.array([1]), pa.Array)
+
+
+def dense(line, chars=5):
+    return {line[i : i + chars] for i in range(max(1, len(line) - chars + 1))}
+
+
+def similar(a, b):
+    return 9 * len(dense(a) & dense(b)) >= 4 * (len(dense(a)) + len(dense(b)))
+
+
+def test_lines_of_a_star(spark):
+    """Copies of one line, edited each on its own: similar to it, not to each other."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = [(0, " ".join(base))]
+    while len(rows) < 1000:
+        w = list(base)
+        for at in rng.sample(range(90), 6):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    linked = {i for i, line in rows if similar(line, rows[0][1])}
+    apart = [(rng.choice(rows[1:]), rng.choice(rows[1:])) for _ in range(200)]
+    comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(linked) > 950 and sum(similar(a[1], b[1]) for a, b in apart) < 20
+    assert sum(comp[i] == comp[0] for i in linked) >= 0.98 * len(linked)
+
+
+def test_lines_that_differ_beyond_a_words_start_stay_apart(spark):
+    lines = ["see https://example.com/a/page/one/of/many", "see https://example.com/b/other/list/index", "order id 0123456789abcdef0001", "order id 0123456789abcdef9f27c", "一二三四五六七八九十百千万上中下左右前後東西", "一二三四五六七八九十百千万上中下春夏秋冬南北"]
+    got = line_dedup.op3(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert not any(similar(a, b) for a in lines for b in lines if a != b) and all(r.kept for r in got)
+
+
+def test_lines_with_one_letter_changed(spark):
+    rng = random.Random(9)
+    rows, links = [], 0
+    for i in range(300):
+        line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(10, 31)))
+        at = rng.choice([k for k, c in enumerate(line) if c != " "])
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + ("a" if line[at] != "a" else "b") + line[at + 1 :])]
+    comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [i for i in range(0, 600, 2) if similar(rows[i][1], rows[i + 1][1])]
+    assert len(want) > 280 and sum(comp[i] == comp[i + 1] for i in want) >= 0.98 * len(want)
