@@ -392,3 +392,11 @@ def test_lines_with_one_letter_changed(spark):
     comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = [i for i in range(0, 600, 2) if similar(rows[i][1], rows[i + 1][1])]
     assert len(want) > 280 and sum(comp[i] == comp[i + 1] for i in want) >= 0.98 * len(want)
+
+
+def test_conversations_that_open_alike_are_paired(spark):
+    """However many there are: 2500 of one opening, 600 alone."""
+    turns = [(i, t, "user" if t % 2 == 0 else "assistant", ("hi" if i < 2500 else f"question {i}") if t == 0 else f"answer {i}") for i in range(3100) for t in (0, 1)]
+    rows = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(rows) == 3100 and all(rows[i].rejected_id == (i + 1) % 2500 and rows[i].n_common == 1 for i in range(2500))
+    assert all(rows[i].rejected_id not in (None, i) and f"answer {rows[i].rejected_id}<" in rows[i].rejected for i in range(2500, 3100))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Conversations of a part of the table, in which neighbours are looked for.
-PART = 1000
+from tidewave.llm.store import cut
+
 TRAINED = "assistant"
 
 
@@ -70,34 +70,53 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(convs: DataFrame) -> DataFrame:
-    """Pairs (chosen_id, rejected_id, chosen, rejected) for every conversation that has an assistant's turn.
+def _followers(turns: DataFrame) -> DataFrame:
+    """conv_id, next_id and alone of every conversation with an assistant's turn.
+
+    next_id is the next conversation with the same opening, by conv_id, the first for the last; a conversation that is alone
+    with its opening has the next of the table in the order of openings' hashes, the first for the last.
+    """
+    first = F.min(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    heads = turns.where("conv_id is not null").groupBy("conv_id").agg(first.alias("x"), F.max(F.coalesce(F.col("role") == TRAINED, F.lit(False))).alias("trained")).where("trained")
+    # ranges of openings and ids, so that a hot opening is spread over parts; a part's last row goes on with the first of the next part
+    ranged = heads.select("conv_id", F.xxhash64("x.role", "x.text").alias("opening")).repartitionByRange("opening", "conv_id")
+    rows = cut(ranged.withColumn("part", F.spark_partition_id()))
+    order = F.struct("opening", "conv_id")
+    w = Window.partitionBy("part").orderBy("opening", "conv_id")
+    rows = rows.withColumn("next", F.lead(order).over(w))
+    # one row a part
+    parts = rows.groupBy("part").agg(F.min(order).alias("low"))
+    all_parts = Window.partitionBy(F.lit(0)).orderBy("part")
+    parts = parts.select("part", F.coalesce(F.lead("low").over(all_parts), F.min("low").over(all_parts)).alias("after"))
+    openings = rows.groupBy("opening").agg(F.min("conv_id").alias("first_id"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = rows.join(F.broadcast(parts), "part").withColumn("next", F.coalesce("next", "after")).join(openings, "opening", "left")
+    alone = F.col("c").isNull()
+    follower = F.when(alone | (F.col("next.opening") == F.col("opening")) & (F.col("next.conv_id") > F.col("conv_id")), F.col("next.conv_id")).otherwise(F.col("first_id"))
+    return rows.select("conv_id", follower.alias("next_id"), alone.alias("alone"))
+
+
+def neighbours(turns: DataFrame) -> DataFrame:
+    """Pairs (chosen_id, rejected_id, chosen, rejected) for every conversation of ``turns`` that has an assistant's turn.
 
     Conversations that open with the same turn are candidates for the same prompt: the rejected one is the next of them, by
-    conv_id, in a part of the opening's conversations.  A conversation that is alone there is rejected with its own last assistant's turn
-    replaced by that of the next conversation in its part of the table, the first for the last (a part of one conversation takes an empty turn);
+    conv_id, the first for the last.  A conversation that is alone there is rejected with its own last assistant's turn
+    replaced by that of the next conversation of the table (the only one takes an empty turn);
     rejected_id is the one that the text is from (null: none).
     """
-    parts = max(1, convs.count() // PART)
-    last = F.array_max(F.transform(F.sequence(F.lit(1), F.size("turns")), lambda i: F.when(F.element_at("turns", i)["role"] == TRAINED, i)))
-    rows = convs.withColumn("last", last).where("last is not null")
-    rows = rows.withColumns({"answer": F.element_at("turns", F.col("last"))["text"], "opening": F.xxhash64(F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"]), "part": F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(parts))})
-    w = Window.partitionBy("opening", "part").orderBy("conv_id")
-    rows = rows.withColumns({"next_id": F.lead("conv_id").over(w), "next_turns": F.lead("turns").over(w)})
-    near = Window.partitionBy("part").orderBy("conv_id")
-    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ring = lambda c: F.coalesce(F.lead(c).over(near), F.first(c).over(whole))
-    rows = rows.withColumns({"ring_id": ring("conv_id"), "ring_answer": ring("answer")})
-    own = F.col("ring_id") == F.col("conv_id")
-    text = F.when(own, F.lit("")).otherwise(F.col("ring_answer"))
+    convs = conversations(turns)
+    last = lambda c: F.array_max(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.when(F.element_at(c, i)["role"] == TRAINED, i)))
+    others = convs.select(F.col("conv_id").alias("next_id"), F.col("turns").alias("other"))
+    rows = convs.join(_followers(turns), "conv_id").join(others, "next_id").withColumns({"last": last("turns"), "other_last": last("other")})
+    own = F.col("next_id") == F.col("conv_id")
+    text = F.when(own, F.lit("")).otherwise(F.element_at("other", F.col("other_last"))["text"])
     turn = F.element_at("turns", F.col("last"))
     swapped = F.concat(F.slice("turns", 1, F.col("last") - 1), F.array(F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), text.alias("text"))))
     return rows.select(
-        F.col("conv_id").alias("chosen_id"), F.when(F.col("next_id").isNotNull(), F.col("next_id")).when(~own, F.col("ring_id")).alias("rejected_id"),
-        F.col("turns").alias("chosen"), F.coalesce("next_turns", swapped).alias("rejected"),
+        F.col("conv_id").alias("chosen_id"), F.when(~own, F.col("next_id")).alias("rejected_id"),
+        F.col("turns").alias("chosen"), F.when(F.col("alone"), swapped).otherwise(F.col("other")).alias("rejected"),
     )
 
 
 def op10(turns: DataFrame) -> DataFrame:
     """A preference example of every conversation with an assistant's turn."""
-    return format_pairs(neighbours(conversations(turns)))
+    return format_pairs(neighbours(turns))
