@@ -400,3 +400,11 @@ def test_conversations_that_open_alike_are_paired(spark):
     rows = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert len(rows) == 3100 and all(rows[i].rejected_id == (i + 1) % 2500 and rows[i].n_common == 1 for i in range(2500))
     assert all(rows[i].rejected_id not in (None, i) and f"answer {rows[i].rejected_id}<" in rows[i].rejected for i in range(2500, 3100))
+
+
+def test_raking_meets_every_margin(spark):
+    """With one source, whose margin is met at once."""
+    cells = spark.createDataFrame([("s", "a", "x", 100), ("s", "a", "y", 10), ("s", "b", "x", 10), ("s", "b", "y", 100)], "source string, lang string, topic string, tokens long")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    out = mixing.rake(cells, {"source": share(s=1.0), "lang": share(a=0.6, b=0.4), "topic": share(x=0.5, y=0.5)}).toPandas()
+    assert abs(out[out.lang == "a"].weight.sum() - 0.6) <= mixing.TOLERANCE and abs(out[out.topic == "x"].weight.sum() - 0.5) <= mixing.TOLERANCE

@@ -7,6 +7,8 @@ sampled with probabilities that make the expected tokens of a cell proportional
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """``cells`` (margins, tokens) with a column weight whose sums over each margin are its targets (value, share).
 
     Raking starts from the tokens, so a cell without tokens keeps none; a target for a value without tokens can't be met and its share goes to the
-    others.  It ends at an error of TOLERANCE or after MOST_ROUNDS rounds (margins that contradict each other have no answer).
+    others.  It ends at an error of TOLERANCE in every margin, or with a warning after MOST_ROUNDS rounds (margins that contradict each other have no answer).
     """
     now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
     for m, t in targets.items():
@@ -54,11 +56,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             for m in targets:
                 now = now.withColumn("weight", F.col("weight") * F.col(f"t_{m}") / F.sum("weight").over(Window.partitionBy(m)))
         now = cut(now)
-        # the last margin of a round is met exactly, so its first tells how far the others still are
-        sums = now.groupBy(*list(targets)[:1]).agg(F.sum("weight").alias("w"), F.first(f"t_{next(iter(targets))}").alias("t"))
-        worst = sums.agg(F.max(F.abs(F.col("w") - F.col("t")))).head()[0] or 0.0
+        # shares of what is there: values without tokens leave theirs to the others
+        total = now.agg(F.sum("weight")).head()[0] or 1.0
+        worst = 0.0
+        for m in targets:
+            sums = now.groupBy(m).agg((F.sum("weight") / total).alias("w"), F.first(f"t_{m}").alias("t"))
+            whole = sums.agg(F.sum("t")).head()[0] or 1.0
+            worst = max(worst, sums.agg(F.max(F.abs(F.col("w") - F.col("t") / whole))).head()[0] or 0.0)
         if worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking ended after {MOST_ROUNDS} rounds with an error of {worst:.2g} of a margin's share", stacklevel=2)
     return now.select(*targets, "tokens", "weight")
 
 
