@@ -212,11 +212,36 @@ def test_neighbours_recall(spark):
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.5, 0.5, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [float("nan"), 1.0, 0.0]), (6, [None, 1.0, 0.0]), (40, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (1, [1.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("x"))
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(v, F.col("vec_id") % 20 == 0, 20, share=1.0).collect()}
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(v, F.col("vec_id") % 20 == 0, 20).collect()}
     assert got == {(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)}
     assert neighbours.op5(v.limit(0)).count() == 0
 
 
+def test_neighbours_of_each_length_for_itself(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0, 2.0]), (2, [1.0]), (3, [3.0, 1.0]), (20, [0.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.op5(v).collect()}
+    assert got == {(0, 1, 3, 3.0), (20, 1, 1, 2.0)}
+
+
+@pytest.mark.parametrize("kind", ["clusters", "norms"])
+def test_neighbours_against_brute_force(spark, monkeypatch, kind):
+    # small groups and sides, so that cells and queries are split
+    monkeypatch.setattr(neighbours, "POINTS", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 24))
+    x = centres[rng.integers(0, 12, 900)] + (0.2 if kind == "clusters" else 1.0) * rng.normal(size=(900, 24))
+    x = x / np.linalg.norm(x, axis=1)[:, None] if kind == "clusters" else x * rng.uniform(0.2, 3, 900)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.op5(v).toPandas()
+    hit = 0
+    for q, g in rows.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        assert np.allclose(g.score, s[g.vec_id], rtol=1e-12) and list(g.sort_values(["score", "vec_id"], ascending=[False, True])["rank"]) == list(range(1, 21))
+    assert len(rows) == 20 * 45 and hit / len(rows) >= 0.9
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
