@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewave.constants import DBFS_FLOOR, SILENCE_EPSILON
 
-Vector = Column
-
 
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
@@ -69,6 +67,10 @@ def power_to_db(v: Column) -> Column:
     return F.when(v <= 0, F.lit(DBFS_FLOOR)).otherwise(F.greatest(F.lit(DBFS_FLOOR), 10 * F.log10(v)))
 
 
+def hz_to_mel(hz: Column) -> Column:
+    return 2595 * F.log10(1 + hz / 700)
+
+
 def semitones(low: Column, high: Column) -> Column:
     """Distance of two frequencies; 0 if one is not positive."""
     return F.when((low <= 0) | (high <= 0), F.lit(0.0)).otherwise(12 * F.log2(high / low))
@@ -169,6 +171,27 @@ def dequantize_int8(q: Column) -> Column:
     return F.transform(q["data"], lambda x: x * q["scale"])
 
 
+def dequantize_checked(scale: Column, payload: Column, length: int) -> Column:
+    """Values of a base64 payload of signed bytes; another length than ``length`` is an error."""
+    raw = F.unbase64(payload)
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+    values = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i))) * scale)
+    return F.when(F.octet_length(raw) == length, values).otherwise(F.raise_error(F.lit(f"a payload of {length} bytes is needed")).cast("array<double>"))
+
+
+def int8_payload(q: Column) -> Column:
+    """Base64 of the signed bytes of quantize_int8."""
+    bytes_ = F.transform(q["data"], lambda v: F.lpad(F.hex(F.pmod(v, F.lit(256)).cast("long")), 2, "0"))
+    return base64_plain(F.unhex(F.array_join(bytes_, "")))
+
+
+def float16_value(v: Column) -> Column:
+    """The value that float16 keeps of a number within its range, halves of a unit rounded away from zero."""
+    a = F.abs(v.cast("float").cast("double"))
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(a)), F.lit(-14)) - 10)
+    return F.when(a == 0, F.lit(0.0)).otherwise(F.signum(v) * F.floor(a / step + 0.5) * step)
+
+
 def base64_plain(b: Column) -> Column:
     """Base64 without line breaks."""
     return F.regexp_replace(F.base64(b), r"[\r\n]", "")
@@ -184,7 +207,7 @@ def format_hz(v: Column) -> Column:
 
 
 def capitalize(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.expr("''") if s is None else F.substring(s, 2, 1 << 30))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
 
 
 def band_label(key: Column) -> Column:
@@ -199,5 +222,10 @@ def score_of(classes: Column, label: str) -> Column:
     return F.coalesce(F.get(F.filter(classes, lambda c: c["label"] == label), F.lit(0))["score"], F.lit(0.0))
 
 
+def possibly_human(classes: Column, labels: list[str], least: float = 0.3) -> Column:
+    """Whether a class of the labels scores at least ``least``."""
+    return max_score_of(classes, labels) >= least
+
+
 def max_score_of(classes: Column, labels: list[str]) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(F.filter(classes, lambda c: c["label"].isin(labels)), lambda c: c["score"])), F.lit(0.0)))

@@ -8,6 +8,10 @@ from tidewave.constants import PROFILE_SCHEMA_VERSION
 from tidewave.functions.signal import from_half, random_numbers, to_half
 
 
+#: Rows whose distances to all others are held at once.
+BLOCK_ROWS = 256
+
+
 def seed_centroids(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means++ with the seeded generator."""
     draws = iter(random_numbers(seed, k + 1).tolist())
@@ -21,11 +25,21 @@ def seed_centroids(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.stack(out).astype(np.float32)
 
 
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All pairs' squared distances, one row of ``y`` at a time: memory is that of the result and of one copy of ``x``."""
+    x = x.astype(float)
+    out = np.empty((len(x), len(y)))
+    for j, row in enumerate(y):
+        gap = x - row
+        out[:, j] = np.einsum("id,id->i", gap, gap)
+    return out
+
+
 def lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     centres = seed_centroids(x, k, seed)
     label = np.zeros(len(x), np.int64)
     for _ in range(iterations):
-        new = np.square(x[:, None, :].astype(float) - centres[None]).sum(2).argmin(1)
+        new = squared_distances(x, centres).argmin(1)
         moved = (new != label).any()
         label = new
         for c in range(k):
@@ -47,8 +61,11 @@ def silhouette(x: np.ndarray, label: np.ndarray, k: int) -> float:
     """Mean over members of clusters of two at least; 0 if undefined."""
     if k < 2 or len(x) < 3:
         return 0.0
-    d = np.sqrt(np.square(x[:, None, :].astype(float) - x[None]).sum(2))
-    sums = np.stack([d[:, label == c].sum(1) for c in range(k)], 1)
+    # blocks of rows: no more than BLOCK_ROWS x n distances are held
+    sums = np.empty((len(x), k))
+    for a in range(0, len(x), BLOCK_ROWS):
+        d = np.sqrt(squared_distances(x, x[a : a + BLOCK_ROWS])).T
+        sums[a : a + BLOCK_ROWS] = np.stack([d[:, label == c].sum(1) for c in range(k)], 1)
     n = np.bincount(label, minlength=k)
     scores = []
     for i, own in enumerate(label):

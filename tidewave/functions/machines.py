@@ -8,7 +8,7 @@ import numpy as np
 
 from tidewave.constants import HOP_SAMPLES, HOP_SECONDS, SAMPLE_RATE_HZ, WINDOW_SAMPLES, WINDOW_SECONDS
 from tidewave.functions.learning import status_for
-from tidewave.functions.signal import extract, rms_level, segment, track_pitch, windows
+from tidewave.functions.signal import extract, half_up, levels, segment, track_pitch, windows
 
 
 class Framer:
@@ -86,9 +86,10 @@ class EventDetector:
         best = max(hits, key=lambda c: c[1], default=None)
         if best is None or best[1] < self.score:
             return self._emit()
-        hop = max(1, round(self.rate / 100))
-        env = [rms_level(w) for w in windows(np.asarray(samples, float), hop, hop)]
-        found = segment(np.array(env, np.float32), hop / self.rate, most=self.most)
+        hop = max(1, half_up(self.rate / 100))
+        x = np.asarray(samples, float)
+        env = levels(x[: len(x) // hop * hop].reshape(-1, hop))
+        found = segment(env.astype(np.float32), hop / self.rate, most=self.most)
         if not found:
             return []
         s = max(found, key=lambda x: x[2])

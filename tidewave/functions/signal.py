@@ -25,6 +25,25 @@ def rms_level(x: np.ndarray) -> float:
     return level(float(np.sqrt(np.mean(np.square(x, dtype=float))))) if len(x) else DBFS_FLOOR
 
 
+def half_up(x: float) -> int:
+    """The nearest whole number, halves rounded up."""
+    return int(np.floor(x + 0.5))
+
+
+def levels(frames: np.ndarray) -> np.ndarray:
+    """RMS level of every row."""
+    if not frames.shape[1]:
+        return np.full(len(frames), DBFS_FLOOR)
+    rms = np.sqrt(np.einsum("ij,ij->i", frames, frames) / frames.shape[1])
+    return np.where(rms < SILENCE_EPSILON, DBFS_FLOOR, np.maximum(DBFS_FLOOR, 20 * np.log10(np.maximum(rms, SILENCE_EPSILON))))
+
+
+def _around(x: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
+    """Rows of the values around each place, NaN beyond the ends."""
+    padded = np.concatenate((np.full(radius, np.nan), x, np.full(radius, np.nan)))
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * radius + 1)[at]
+
+
 def windows(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     if len(x) < size:
         return np.zeros((0, size), x.dtype)
@@ -57,14 +76,24 @@ def resample(x: np.ndarray, source_hz: float, target_hz: float = SAMPLE_RATE_HZ,
     return np.interp(np.arange(n) * ratio, np.arange(len(y)), y).astype(np.float32)
 
 
+@cache
+def _taper(size: int) -> np.ndarray:
+    return hann(size)
+
+
 def spectrogram(x: np.ndarray, size: int = STFT_WINDOW_SAMPLES, hop: int = STFT_HOP_SAMPLES, fft: int = FFT_SIZE) -> np.ndarray:
     """Magnitudes (frames x bins), scaled so that a sine's peak is its amplitude."""
     if fft < 4 or fft & (fft - 1):
         raise ValueError("the FFT's size must be a power of two, 4 at least")
-    w = hann(size)
+    w = _taper(size)
     return np.abs(np.fft.rfft(windows(np.asarray(x, float), size, hop) * w, fft)) * (2 / w.sum())
 
 
+def average_spectrum(spec: np.ndarray) -> np.ndarray:
+    """Mean magnitude of each bin over the frames, zeros without frames."""
+    return spec.mean(0) if len(spec) else np.zeros(spec.shape[1])
+
+
 def hz_to_mel(hz):
     return 2595 * np.log10(1 + np.asarray(hz, float) / 700)
 
@@ -99,24 +128,37 @@ def centroid(spectrum: np.ndarray, rate: float = SAMPLE_RATE_HZ, fft: int = FFT_
     return float((m * np.arange(1, len(spectrum)) * rate / fft).sum() / m.sum()) if m.sum() > 0 else 0.0
 
 
+@cache
+def _band_edges(edges: tuple[float, ...], bins: int, rate: float, fft: int) -> np.ndarray:
+    """First bin (0 excluded) at or above each edge."""
+    return np.maximum(1, np.searchsorted(np.arange(bins) * rate / fft, edges, "left"))
+
+
 def band_levels(spectrum: np.ndarray, edges=tuple(OCTAVE_BAND_EDGES_HZ), rate: float = SAMPLE_RATE_HZ, fft: int = FFT_SIZE) -> np.ndarray:
-    hz = np.arange(len(spectrum)) * rate / fft
-    return np.array([float(power_db(np.square(spectrum[1:])[(hz[1:] >= a) & (hz[1:] < b)].sum())) for a, b in zip(edges, edges[1:], strict=False)])
+    at = _band_edges(tuple(edges), len(spectrum), rate, fft)
+    power = np.square(spectrum)
+    return power_db(np.array([power[a:b].sum() for a, b in zip(at, at[1:], strict=False)]))
 
 
 def find_peaks(spectrum: np.ndarray, rate: float = SAMPLE_RATE_HZ, fft: int = FFT_SIZE, most: int = 5, prominence_db: float = 6, radius_hz: float = 300) -> list[tuple[float, float, float]]:
     """(frequency, level, prominence) of local maxima that stand out of the upper median around them."""
     db = 20 * np.log10(np.maximum(spectrum, 10 ** (DBFS_FLOOR / 20)))
-    radius = max(2, round(radius_hz * fft / rate))
-    out = []
-    for b in range(1, len(db) - 1):
-        if not (db[b] > db[b - 1] and db[b] >= db[b + 1]):
-            continue
-        near = [db[j] for j in range(max(1, b - radius), min(len(db) - 1, b + radius)) if abs(j - b) > 1]
-        floor = sorted(near)[len(near) // 2] if near else DBFS_FLOOR
-        if db[b] - floor >= prominence_db:
-            out.append((interpolate_peak(db, b) * rate / fft, float(db[b]), float(db[b] - floor)))
-    return sorted(out, key=lambda p: -p[2])[:most]
+    radius = max(2, half_up(radius_hz * fft / rate))
+    at = 1 + np.flatnonzero((db[1:-1] > db[:-2]) & (db[1:-1] >= db[2:]))
+    if not len(at):
+        return []
+    # bins 1 .. n - 2 of those from radius below to radius - 1 above, without the peak and the two beside it
+    inner = db.copy()
+    inner[[0, -1]] = np.nan
+    near = _around(inner, at, radius)[:, :-1]
+    near[:, radius - 1 : radius + 2] = np.nan
+    near.sort(1)
+    count = (~np.isnan(near)).sum(1)
+    floor = np.where(count > 0, near[np.arange(len(at)), count // 2 * (count > 0)], DBFS_FLOOR)
+    gap = db[at] - floor
+    best = np.flatnonzero(gap >= prominence_db)
+    best = best[np.argsort(-gap[best], kind="stable")][:most]
+    return [(interpolate_peak(db, at[i]) * rate / fft, float(db[at[i]]), float(gap[i])) for i in best]
 
 
 def interpolate_peak(db: np.ndarray, b: int) -> float:
@@ -135,15 +177,21 @@ def spectral_flux(spec: np.ndarray) -> np.ndarray:
 
 def onsets(strength: np.ndarray, hop_s: float, factor: float = 1.5, radius: int = 8, interval: float = 0.05, least: float = 0.05) -> list[float]:
     """Times of local maxima above the median and mean deviation around them, the interval apart at least."""
+    v = np.asarray(strength, float)
+    if len(v) < 3:
+        return []
+    at = 1 + np.flatnonzero((v[1:-1] >= least) & (v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:]))
+    if not len(at):
+        return []
+    near = _around(v, at, radius)
+    n = (~np.isnan(near)).sum(1)
+    rows, ordered = np.arange(len(at)), np.sort(near, 1)
+    middle = (ordered[rows, (n - 1) // 2] + ordered[rows, n // 2]) / 2
+    spread = np.nansum(np.abs(near - middle[:, None]), 1) / n
     out: list[float] = []
-    for i in range(1, len(strength) - 1):
-        s = strength[i]
-        if s < least or not (s > strength[i - 1] and s >= strength[i + 1]):
-            continue
-        near = strength[max(0, i - radius) : i + radius + 1]
-        m = np.median(near)
+    for i in at[v[at] >= middle + factor * spread].tolist():
         t = i * hop_s
-        if s >= m + factor * np.abs(near - m).mean() and (not out or t - out[-1] >= interval):
+        if not out or t - out[-1] >= interval:
             out.append(t)
     return out
 
@@ -156,7 +204,8 @@ def onset_periodicity(times: list[float]) -> tuple[float, float]:
     if seed <= 0:
         return 0.0, 0.0
     periods = seed * (1 + np.arange(-40, 41) / 100)
-    strength = np.abs(np.exp(2j * np.pi * np.asarray(times)[None, :] / periods[:, None]).mean(1))
+    phase = 2 * np.pi * np.asarray(times)[None, :] / periods[:, None]
+    strength = np.hypot(np.cos(phase).mean(1), np.sin(phase).mean(1))
     best = int(strength.argmax())
     return float(strength[best]), float(periods[best])
 
@@ -183,12 +232,12 @@ def extract(x: np.ndarray, rate: int = SAMPLE_RATE_HZ) -> dict:
     """All features of a window from one spectrogram."""
     x = np.asarray(x, float)
     spec = spectrogram(x)
-    mean = spec.mean(0) if len(spec) else np.zeros(FFT_SIZE // 2 + 1)
+    mean = average_spectrum(spec)
     flux = spectral_flux(spec)
     times = onsets(flux, STFT_HOP_SAMPLES / rate)
     strength, period = onset_periodicity(times)
-    hop = max(1, round(rate / 100))
-    env = np.array([rms_level(w) for w in windows(x, hop, hop)], np.float32)
+    hop = max(1, half_up(rate / 100))
+    env = levels(x[: len(x) // hop * hop].reshape(-1, hop)).astype(np.float32)
     am_hz, am_depth = modulation(env, hop / rate)
     return {
         "rms_dbfs": rms_level(x), "log_mel": log_mel(mean, mel_bank()), "bands": band_levels(mean), "peaks": find_peaks(mean), "flatness": flatness(mean), "centroid_hz": centroid(mean),
@@ -202,50 +251,102 @@ def feature_vector(f: dict) -> np.ndarray:
     return np.concatenate((mel - mel.mean(), bands - bands.mean(), [f[k] for k in ("rms_dbfs", "flatness", "centroid_hz", "flux", "am_hz", "am_depth")])).astype(np.float32)
 
 
+def feature_names(edges=tuple(OCTAVE_BAND_EDGES_HZ), mels: int = MEL_BANDS) -> list[str]:
+    """Names of the numbers of feature_vector, in order."""
+    bands = [f"band balance {a:g}-{b:g} Hz" for a, b in zip(edges, edges[1:], strict=False)]
+    return [*(f"mel shape[{i}]" for i in range(mels)), *bands, "level", "spectral flatness", "spectral centroid", "spectral flux", "AM rate", "AM depth"]
+
+
+def describable_values(f: dict, edges=tuple(OCTAVE_BAND_EDGES_HZ)) -> dict[str, float]:
+    """The scalars that an explanation can name: nine features, then each band's level above the window's."""
+    hz, _, prominence = f["peaks"][0] if f["peaks"] else (0.0, 0.0, 0.0)
+    out = {
+        "level": f["rms_dbfs"], "spectralFlatness": f["flatness"], "spectralCentroidHz": f["centroid_hz"], "spectralFlux": f["flux"], "onsetPeriodicity": f["onset_periodicity"],
+        "amplitudeModulationHz": f["am_hz"], "amplitudeModulationDepth": f["am_depth"], "peakFrequencyHz": hz, "peakProminenceDb": prominence,
+    }
+    return out | {f"band{half_up(a)}Hz": float(b - f["rms_dbfs"]) for a, b in zip(edges, f["bands"], strict=False)}
+
+
 def yin(frame: np.ndarray, low: float = PITCH_MIN_HZ, high: float = PITCH_MAX_HZ, threshold: float = 0.15, rate: float = SAMPLE_RATE_HZ) -> tuple[float, float]:
     """(frequency, confidence), zeros if unvoiced."""
-    x = np.asarray(frame, float)
-    max_lag, min_lag = min(int(rate // low), len(x) // 2 - 1), max(2, int(rate // high))
-    if max_lag <= min_lag:
-        return 0.0, 0.0
-    half = len(x) - max_lag
-    lags = np.arange(max_lag + 1)
-    view = np.lib.stride_tricks.sliding_window_view(x, half)[: max_lag + 1]
-    diff = np.square(view - x[:half]).sum(1)
-    sums = np.cumsum(diff[1:])
-    norm = np.ones(max_lag + 1, np.float32)
-    norm[1:] = np.where(sums > 0, diff[1:] * lags[1:] / np.where(sums > 0, sums, 1), 1)
-    below = np.flatnonzero(norm[min_lag : max_lag + 1] < threshold)
-    if len(below):
-        lag = min_lag + int(below[0])
-        while lag + 1 <= max_lag and norm[lag + 1] < norm[lag]:
-            lag += 1
-    else:
-        lag = min_lag + int(norm[min_lag : max_lag + 1].argmin())
-        if norm[lag] > 0.6:
-            return 0.0, 0.0
-    # a shorter period explains the frame as well, up to rounding
-    if min_lag > 2 and norm[2:min_lag].min() <= norm[lag] + 1e-6 and norm[2:min_lag].min() < threshold:
-        return 0.0, 0.0
-    shift = 0.0
-    if 0 < lag < max_lag:
-        a, b, c = float(norm[lag - 1]), float(norm[lag]), float(norm[lag + 1])
-        d = a - 2 * b + c
-        shift = float(np.clip(0.5 * (a - c) / d, -1, 1)) if d else 0.0
+    f0, confidence = yin_frames(np.asarray(frame, float)[None, :], low, high, threshold, rate)
+    return float(f0[0]), float(confidence[0])
+
+
+def yin_frames(x: np.ndarray, low: float = PITCH_MIN_HZ, high: float = PITCH_MAX_HZ, threshold: float = 0.15, rate: float = SAMPLE_RATE_HZ) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency and confidence of every row, zeros where unvoiced; squared differences at all lags come from one FFT."""
+    n, size = x.shape
+    f0, confidence = np.zeros(n), np.zeros(n)
+    max_lag, min_lag = min(int(rate // low), size // 2 - 1), max(2, int(rate // high))
+    if max_lag <= min_lag or not n:
+        return f0, confidence
+    half, lags = size - max_lag, np.arange(max_lag + 1)
+    fft = 1 << (size - 1).bit_length()
+    # a circular product wraps lags beyond size - half only, which are not read
+    cross = np.fft.irfft(np.fft.rfft(x, fft) * np.conj(np.fft.rfft(x[:, :half], fft)), fft)[:, : max_lag + 1]
+    energy = np.zeros((n, size + 1))
+    np.cumsum(np.square(x), axis=1, out=energy[:, 1:])
+    shifted = energy[:, half : half + max_lag + 1] - energy[:, : max_lag + 1]
+    diff = np.maximum(shifted + shifted[:, :1] - 2 * cross, 0)
+    # differences lost in rounding are zero
+    diff[diff < 1e-13 * energy[:, -1:]] = 0
+    sums = np.cumsum(diff[:, 1:], axis=1)
+    norm = np.ones((n, max_lag + 1), np.float32)
+    norm[:, 1:] = np.where(sums > 0, diff[:, 1:] * lags[1:] / np.where(sums > 0, sums, 1), 1)
+    inside = norm[:, min_lag:]
+    below = inside < threshold
+    any_below = below.any(1)
+    # from the first lag below the threshold on, down to the next local minimum
+    stop = np.ones((n, max_lag + 1), bool)
+    stop[:, :-1] = norm[:, 1:] >= norm[:, :-1]
+    stop[lags[None, :] < (min_lag + below.argmax(1))[:, None]] = False
+    lag = np.where(any_below, stop.argmax(1), min_lag + inside.argmin(1))
+    rows = np.arange(n)
+    here = norm[rows, lag]
+    voiced = any_below | (here <= 0.6)
+    if min_lag > 2:
+        # a shorter period explains the frame as well, up to rounding
+        shorter = norm[:, 2:min_lag].min(1)
+        voiced &= ~((shorter <= here + 1e-6) & (shorter < threshold))
+    a, c = norm[rows, np.maximum(lag - 1, 0)].astype(float), norm[rows, np.minimum(lag + 1, max_lag)].astype(float)
+    d = a - 2 * here.astype(float) + c
+    shift = np.where((lag < max_lag) & (d != 0), np.clip(0.5 * (a - c) / np.where(d == 0, 1, d), -1, 1), 0)
     hz = rate / (lag + shift)
-    return (hz, float(np.clip(1 - norm[lag], 0, 1))) if low <= hz <= high else (0.0, 0.0)
+    voiced &= (hz >= low) & (hz <= high)
+    return np.where(voiced, hz, 0), np.where(voiced, np.clip(1 - here, 0, 1), 0)
 
 
 def track_pitch(x: np.ndarray, rate: int = SAMPLE_RATE_HZ, low: float = PITCH_MIN_HZ, high: float = PITCH_MAX_HZ, threshold: float = 0.15, silence: float = -60.0) -> list[tuple[float, float, float, float]]:
     """(t, f0, confidence, level) per frame, t at its centre."""
-    size = max(round(rate * PITCH_FRAME_MS / 1000), int(np.ceil(2 * rate / low)) + 2)
-    hop = max(1, round(rate * PITCH_HOP_MS / 1000))
-    out = []
-    for i, w in enumerate(windows(np.asarray(x, float), size, hop)):
-        db = rms_level(w)
-        f0, conf = (0.0, 0.0) if db < silence else yin(w, low, high, threshold, rate)
-        out.append(((i * hop + size / 2) / rate, f0, conf, db))
-    return out
+    size = max(half_up(rate * PITCH_FRAME_MS / 1000), int(np.ceil(2 * rate / low)) + 2)
+    hop = max(1, half_up(rate * PITCH_HOP_MS / 1000))
+    found = windows(np.asarray(x, float), size, hop)
+    db = levels(found)
+    loud = np.flatnonzero(db >= silence)
+    f0, confidence = np.zeros(len(found)), np.zeros(len(found))
+    f0[loud], confidence[loud] = yin_frames(found[loud], low, high, threshold, rate)
+    t = (np.arange(len(found)) * hop + size / 2) / rate
+    return list(zip(t.tolist(), f0.tolist(), confidence.tolist(), db.tolist(), strict=True))
+
+
+def summarize_pitch(frames: list[tuple]) -> dict[str, float]:
+    """Median, least and greatest voiced frequency, share of voiced frames and slope of the contour; zeros without a voiced frame."""
+    voiced = [f for f in frames if f[1] > 0]
+    if not voiced:
+        return dict.fromkeys(("median_f0", "voiced_fraction", "min_f0", "max_f0", "slope"), 0.0)
+    f0 = np.array([f[1] for f in voiced])
+    return {"median_f0": float(np.median(f0)), "voiced_fraction": len(voiced) / len(frames), "min_f0": float(f0.min()), "max_f0": float(f0.max()), "slope": contour_slope([f[0] for f in voiced], f0)}
+
+
+def contour_slope(t, f0) -> float:
+    """Semitones a second by least squares; 0 for fewer than two frames or equal times."""
+    t, y = np.asarray(t, float), np.asarray(f0, float)
+    if len(t) < 2 or y[0] <= 0:
+        return 0.0
+    y = 12 * np.log2(y / y[0])
+    n = len(t)
+    d = n * np.square(t).sum() - t.sum() ** 2
+    return 0.0 if abs(d) < 1e-12 else float((n * (t * y).sum() - t.sum() * y.sum()) / d)
 
 
 def segment(levels, hop_s: float, open_db=12.0, close_db=6.0, least=0.04, most=5.0, bridge=0.06, dip=6.0) -> list[tuple[float, float, float, int]]:
@@ -264,7 +365,7 @@ def segment(levels, hop_s: float, open_db=12.0, close_db=6.0, least=0.04, most=5
     if start is not None:
         runs.append([start, len(v)])
     merged: list[list[int]] = []
-    gap = round(bridge / hop_s)
+    gap = half_up(bridge / hop_s)
     for r in runs:
         if merged and r[0] - merged[-1][1] <= gap:
             merged[-1][1] = r[1]
@@ -272,7 +373,7 @@ def segment(levels, hop_s: float, open_db=12.0, close_db=6.0, least=0.04, most=5
             merged.append(r)
     out = []
     for a, b in merged:
-        b = min(b, a + max(1, int(np.floor(most / hop_s + 0.5))))
+        b = min(b, a + max(1, half_up(most / hop_s)))
         if (b - a) * hop_s + 1e-12 >= least:
             out.append((a * hop_s, b * hop_s, float(v[a:b].max()), count_syllables(v[a:b], dip)))
     return out

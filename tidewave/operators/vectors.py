@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import columns as C
 from tidewave.functions.learning import kmeans, select_clustering, silhouette
+from tidewave.functions.signal import random_numbers
 
-#: Examples are broadcast in blocks of at most so many: what a task holds does not grow with the table.
-EXAMPLES = 50_000
+#: Examples and queries of a block, and prototypes, texts or centroids of one: what a task holds does not grow with the table.
+EXAMPLES, QUERIES, BLOCK = 16_384, 4096, 1024
 
 
 def long_form(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -31,53 +30,55 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _nearest(block, k: int, most: float, by_fold: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, folds, x = block.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q, own, fold = unit(_matrix(b.column(2))), b.column(0).to_numpy(), b.column(1).to_numpy()
-            d = 1 - q @ x.T
-            d[(fold[:, None] == folds[None, :]) if by_fold else (own[:, None] == ids[None, :])] = np.inf
-            d[d > most] = np.inf
-            kk = min(k, d.shape[1])
-            least = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]
-            i, j = np.nonzero((d <= least) & (d < np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(labels[j]), pa.array(d[i, j])], ["id", "other", "label", "distance"])
+def _nearest(k: int, most: float, by_fold: bool):
+    """The k examples of a block that are nearest to each query of a block, ties at the k-th place included."""
+
+    def run(queries: pa.Table, examples: pa.Table) -> pa.Table:
+        ids, others, labels, far = [], [], [], []
+        if queries.num_rows and examples.num_rows:
+            x, own, other = unit(_matrix(examples["e"])), queries["id"].to_numpy(), examples["other"].to_numpy()
+            mine, theirs = (queries["fold"].to_numpy(), examples["fold"].to_numpy()) if by_fold else (own, other)
+            for a in range(0, len(own), 512):
+                d = 1 - unit(_matrix(queries["e"].slice(a, 512))) @ x.T
+                d[mine[a : a + 512, None] == theirs[None, :]] = np.inf
+                d[d > most] = np.inf
+                kk = min(k, d.shape[1])
+                i, j = np.nonzero((d <= np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]) & (d < np.inf))
+                ids.append(own[a + i])
+                others.append(other[j])
+                far.append(d[i, j])
+                labels.append(examples["label"].take(pa.array(j)))
+        cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
+        label = pa.chunked_array([c for t in labels for c in t.chunks], examples["label"].type)
+        return pa.table({"id": pa.array(cat(ids, np.int64)), "other": pa.array(cat(others, np.int64)), "label": label, "distance": pa.array(cat(far, float))})
 
     return run
 
 
 def neighbours(queries: DataFrame, examples: DataFrame, k: int = 5, max_distance: float = 2.0, by_fold: bool = False) -> DataFrame:
-    """(id, other, label, distance, place): the k examples nearest by cosine distance, other than the query itself.
+    """(id, other, label, distance, place): the k examples nearest by cosine distance, other than the query itself; ties go to the smaller vec_id.
 
-    ``queries`` has (vec_id, fold, embedding), ``examples`` (vec_id, label, fold, embedding); with ``by_fold`` examples of the query's
-    own fold are left out.  Examples beyond EXAMPLES are searched block by block and the blocks' answers merged.
+    ``queries`` has (vec_id, fold, embedding), ``examples`` (vec_id, label, fold, embedding), labels of any type; with ``by_fold`` examples of the query's
+    own fold are left out.  Blocks of EXAMPLES meet blocks of QUERIES in tasks of their own, and the blocks' answers are merged.
     """
-    spark = queries.sparkSession
-    n = examples.count()
-    blocks = max(1, -(-n // EXAMPLES))
-    found = None
-    asked = queries.select("vec_id", "fold", C.doubles(F.col("embedding")).alias("e"))
-    for b in range(blocks):
-        rows = examples.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "label", "fold", C.doubles(F.col("embedding")).alias("e")).orderBy("vec_id").toArrow()
-        if not rows.num_rows:
-            continue
-        block = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), rows["label"].to_numpy(), rows["fold"].to_numpy(), unit(_matrix(rows["e"]))))
-        part = asked.mapInArrow(_nearest(block, k, max_distance, by_fold), "id long, other long, label int, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "id long, other long, label int, distance double, place int")
+    def blocks(n: int, size: int) -> int:
+        return max(1, -(-n // size))
+
+    most, asked = blocks(examples.count(), EXAMPLES), blocks(queries.count(), QUERIES)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    of = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    left = queries.select(F.col("vec_id").cast("long").alias("id"), F.col("fold").alias("fold"), C.doubles(F.col("embedding")).alias("e"), of(asked, 1).alias("q"), every(most, "b"))
+    right = examples.select(F.col("vec_id").cast("long").alias("other"), F.col("label").alias("label"), F.col("fold").alias("fold"), C.doubles(F.col("embedding")).alias("e"), of(most, 2).alias("b"), every(asked, "q"))
+    kind = examples.schema["label"].dataType.simpleString()
+    found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_nearest(k, max_distance, by_fold), f"id long, other long, label {kind}, distance double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def vote(found: DataFrame) -> DataFrame:
-    """(id, label, confidence): the label with the most weight 1 / (distance + 1e-6), and its share."""
-    scores = found.groupBy("id", "label").agg(F.sum(1 / (F.col("distance") + 1e-6)).alias("w"), F.min("distance").alias("near"))
-    best = scores.groupBy("id").agg(F.sum("w").alias("total"), F.max(F.struct("w", (-F.col("near")).alias("n"), "label")).alias("x"))
-    return best.select("id", F.col("x.label").alias("label"), (F.col("x.w") / F.col("total")).alias("confidence"))
+    """(id, label, confidence): the label with the most weight 1 / (distance + 1e-6), the one met first of equals, and its share."""
+    scores = found.groupBy("id", "label").agg(F.sum(1 / (F.col("distance") + 1e-6)).alias("w"), F.min("place").alias("near"))
+    return scores.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("near"))).alias("label"), (F.max("w") / F.sum("w")).alias("confidence"))
 
 
 def predict(queries: DataFrame, examples: DataFrame, k: int = 5, max_distance: float = 2.0) -> DataFrame:
@@ -100,25 +101,88 @@ def average(vectors: DataFrame) -> DataFrame:
     return long_form(vectors.where(F.size("embedding") > 0), "label").groupBy("label", "pos").agg(F.avg("x").alias("x"))
 
 
+def in_blocks(rows: DataFrame, *fields: str) -> tuple[DataFrame, int]:
+    """(block, found): few rows gathered in arrays of at most about BLOCK structs, in order of the first field, and the number of blocks."""
+    n = max(1, -(-rows.count() // BLOCK))
+    block = F.pmod(F.xxhash64(fields[0]), F.lit(n)).cast("int").alias("block")
+    return rows.select(block, F.struct(*fields).alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("found")), n
+
+
+def against_blocks(rows: DataFrame, few: DataFrame, *fields: str) -> tuple[DataFrame, int]:
+    """``rows`` with a column ``found`` for each block of ``few``: a join on block numbers, broadcast by the optimiser only while it is small."""
+    blocks, n = in_blocks(few, *fields)
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block"), n
+
+
 def predict_by_prototype(vectors: DataFrame, protos: DataFrame) -> DataFrame:
-    """Every prototype votes: one row per vector.  Prototypes, one for each label, are broadcast if they are at most EXAMPLES."""
-    p = protos.select(F.col("label").alias("proto"), F.col("embedding").alias("p"))
-    p = F.broadcast(p) if p.limit(EXAMPLES + 1).count() <= EXAMPLES else p
-    rows = vectors.select("vec_id", "embedding").join(p, F.lit(True)).select("vec_id", "proto", C.cosine_distance(F.col("embedding"), F.col("p")).alias("d"))
-    w = 1 / (F.col("d") + 1e-6)
-    return rows.groupBy("vec_id").agg(F.sum(w).alias("total"), F.max(F.struct(w.alias("w"), (-F.col("proto")).alias("l"))).alias("x")).select("vec_id", (-F.col("x.l")).alias("label"), (F.col("x.w") / F.col("total")).alias("confidence"))
+    """(vec_id, label, confidence): every prototype votes with 1 / (distance + 1e-6); the first label wins of equals."""
+    rows, _ = against_blocks(vectors.select("vec_id", "embedding"), protos.select("label", "embedding"), "label", "embedding")
+    votes = F.transform("found", lambda p: F.struct((1 / (C.cosine_distance(F.col("embedding"), p["embedding"]) + 1e-6)).alias("w"), p["label"].alias("label")))
+    first = lambda a, b: F.when(b["w"] > a["w"], b).otherwise(a)
+    part = rows.select("vec_id", votes.alias("v")).select("vec_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"]).alias("total"), F.reduce("v", F.get("v", F.lit(0)), first).alias("x"))
+    return part.groupBy("vec_id").agg(F.max_by("x.label", "x.w").alias("label"), (F.max("x.w") / F.sum("total")).alias("confidence"))
+
 
+def rank_by_text(audio: DataFrame, texts: DataFrame) -> DataFrame:
+    """(vec_id, label, similarity, place): texts (label, embedding) by falling cosine similarity with each audio vector (vec_id, embedding), ties by label."""
+    rows, _ = against_blocks(audio.select("vec_id", "embedding"), texts.select("label", "embedding"), "label", "embedding")
+    out = rows.select("vec_id", "embedding", F.explode("found").alias("p")).select("vec_id", F.col("p.label").alias("label"), C.cosine_similarity(F.col("embedding"), F.col("p.embedding")).alias("similarity"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "label")))
 
-def folds(vectors: DataFrame, n: int = 5) -> DataFrame:
-    """Vectors with a column fold, dealt in turn within each label by vec_id."""
-    return vectors.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1, F.lit(n)).cast("int"))
 
+def folds(vectors: DataFrame, n: int = 5, seed: int = 1) -> tuple[DataFrame, int]:
+    """``vectors`` (vec_id, label) with a column fold, and the number of folds: at most n, at most the least label's rows, at least 2.
 
-def cross_validate(vectors: DataFrame, n: int = 5, k: int = 5) -> DataFrame:
-    """(label, predicted, n): the confusion of each fold predicted by the others."""
-    rows = folds(vectors, n)
+    Each label's rows, by vec_id, are shuffled (Fisher-Yates, one seeded generator that goes on from label to label, in order of
+    their least vec_id) and dealt in turn.  The shuffle of a label is one sequence of draws: its ids, and nothing else, are in one task.
+    """
+    counts = vectors.groupBy("label").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    least = counts.agg(F.min("n")).head()[0]
+    n = max(2, min(n, least or 2))
+    drawn = counts.withColumn("offset", F.coalesce(F.sum(F.col("n") - 1).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = F.broadcast(drawn.select(F.col("label").alias("_label"), "offset"))
+    ids = vectors.select("label", "vec_id").join(offsets, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "offset")
+
+    def deal(table: pa.Table) -> pa.Table:
+        own = np.sort(table["vec_id"].to_numpy())
+        return pa.table({"vec_id": pa.array(shuffled(own, seed, int(table["offset"][0].as_py()))), "fold": pa.array((np.arange(len(own)) % n).astype(np.int32))})
+
+    dealt = ids.groupBy("offset").applyInArrow(deal, "vec_id long, fold int") if least and least > 1 else ids.select("vec_id", F.lit(0).alias("fold"))
+    return vectors.join(dealt, "vec_id"), n
+
+
+def shuffled(items: np.ndarray, seed: int, offset: int = 0) -> np.ndarray:
+    """Fisher-Yates from the end, with the draws of the seeded generator from number ``offset`` on."""
+    out = items.copy()
+    for i, draw in zip(range(len(out) - 1, 0, -1), random_numbers(seed + offset * 0x6D2B79F5, max(0, len(out) - 1)), strict=True):
+        j = int(draw * (i + 1))
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+def cross_validate(vectors: DataFrame, n: int = 5, k: int = 5, seed: int = 1) -> DataFrame:
+    """(label, predicted, n): the confusion of each fold predicted by the others; no rows for fewer than two labels."""
+    if vectors.select("label").distinct().limit(2).count() < 2:
+        return vectors.select("label", F.col("label").alias("predicted"), F.lit(0).cast("long").alias("n")).limit(0)
+    rows, _ = folds(vectors, n, seed)
     won = vote(neighbours(rows, rows, k, by_fold=True)).select(F.col("id").alias("vec_id"), F.col("label").alias("predicted"))
-    return rows.select("vec_id", "label").join(won, "vec_id").groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    return rows.select("vec_id", "label").join(won, "vec_id", "left").groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
+def validation_report(vectors: DataFrame, n: int = 5, k: int = 5, seed: int = 1) -> DataFrame:
+    """(label, support, recall, precision, accuracy, total, folds) of a cross-validation, the labels with most rows first (ties by label)."""
+    support = vectors.groupBy("label").agg(F.count("*").alias("support"))
+    confusion = cross_validate(vectors, n, k, seed)
+    hit = F.coalesce(F.sum(F.when(F.col("label").eqNullSafe(F.col("predicted")), F.col("n"))), F.lit(0))
+    tested = confusion.groupBy("label").agg(F.sum("n").alias("tested"), hit.alias("hits"))
+    named = confusion.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("named"))
+    both = support.join(tested, "label", "left").join(named, "label", "left").fillna(0, ["tested", "hits", "named"])
+    # one row a label
+    whole = Window.partitionBy(F.lit(0))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    used = F.when(F.count("*").over(whole) < 2, F.lit(0)).otherwise(F.greatest(F.lit(2), F.least(F.lit(n), F.min("support").over(whole)))).cast("int")
+    out = both.select("label", "support", share(F.col("hits"), F.col("tested")).alias("recall"), share(F.col("hits"), F.col("named")).alias("precision"), share(F.sum("hits").over(whole), F.sum("tested").over(whole)).alias("accuracy"), F.sum("tested").over(whole).alias("total"), used.alias("folds"))
+    return out.orderBy(F.desc("support"), "label")
 
 
 def gaussians(vectors: DataFrame, key: str = "label", shrinkage: float = 0.25, floor: float = 1e-6) -> DataFrame:
@@ -175,15 +239,52 @@ def scores(vectors: DataFrame, key: str = "label") -> DataFrame:
     return d.join(distributions(d, key), key).select(key, "vec_id", "distance", distance_score(F.col("distance"), F.col("samples"), F.col("p50"), F.col("p95"), F.col("max")).alias("score"))
 
 
+def states_of(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, mean, variance, n, samples, p50, p95, p99, max, p90): a one-state model of each value of ``key``, learned from its vectors."""
+    return models(vectors, key).join(distributions(distances(vectors, key), key), key)
+
+
+def score_by_state(windows: DataFrame, states: DataFrame, profile: str) -> DataFrame:
+    """(profile, vec_id, state, score, distance): each window scored by its profile's state of least score, the first of equals by ``place``.
+
+    ``states`` has (profile, state, place, mean, variance, samples, p50, p95, max).  A window of a profile without states scores 1 at distance 0, with an empty state.
+    """
+    d = mahalanobis(F.col("embedding"), F.col("mean"), F.col("variance"))
+    one = windows.select(profile, "vec_id", "embedding").join(states, profile, "left").withColumn("d", d)
+    score = F.when(F.col("state").isNull(), F.lit(1.0)).otherwise(distance_score(F.col("d"), F.col("samples"), F.col("p50"), F.col("p95"), F.col("max")))
+    best = one.select(profile, "vec_id", score.alias("score"), "place", "state", "d").groupBy(profile, "vec_id").agg(F.min(F.struct("score", "place", "state", "d")).alias("x"))
+    return best.select(profile, "vec_id", F.coalesce("x.state", F.lit("")).alias("state"), F.col("x.score").alias("score"), F.coalesce("x.d", F.lit(0.0)).alias("distance"))
+
+
+def check_by_state(scored: DataFrame, profile: str, watch: float = 0.75, anomalous: float = 0.9, p: float = 90) -> DataFrame:
+    """(profile, score, anomalous_fraction, windows, state, status) of a check: its p-th percentile, and the state that most windows match (the first met, by vec_id, of equals)."""
+    counts = scored.groupBy(profile, "state").agg(F.count("*").alias("c"), F.min("vec_id").alias("first")).groupBy(profile).agg(F.max_by("state", F.struct("c", -F.col("first"))).alias("state"))
+    out = scored.groupBy(profile).agg(F.expr(f"percentile(score, {p / 100})").alias("score"), F.avg((F.col("score") >= anomalous).cast("double")).alias("anomalous_fraction"), F.count("*").alias("windows"))
+    return out.join(counts, profile).withColumn("status", status(F.col("score"), watch, anomalous))
+
+
+def find_state(states: DataFrame, profile: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (profile, state) with the state's columns, null where there is none."""
+    return wanted.join(states, [profile, "state"], "left")
+
+
 def status(score, watch, anomalous):
     return F.when(score >= anomalous, "anomalous").when(score >= watch, "watch").otherwise("normal")
 
 
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``vectors`` (vec_id, embedding) with the cluster of the centroid (cluster, embedding) nearest to each, ties to the lowest."""
+    rows, n = against_blocks(vectors.select("vec_id", "embedding"), centroids.select("cluster", F.col("embedding").alias("c")), "cluster", "c")
+    best = F.array_min(F.transform("found", lambda p: F.struct(C.squared_distance(F.col("embedding"), p["c"]).alias("d"), p["cluster"].alias("cluster"))))
+    near = rows.select("vec_id", "embedding", best.alias("x"))
+    if n > 1:
+        near = vectors.select("vec_id", "embedding").join(near.groupBy("vec_id").agg(F.min("x").alias("x")), "vec_id")
+    return near.select("vec_id", "embedding", F.col("x.cluster").alias("cluster"))
+
+
 def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cluster, pos, x, n): means of the vectors nearest to each centroid (cluster, embedding), ties to the lowest; centroids are few and broadcast."""
-    c = F.broadcast(centroids.select("cluster", F.col("embedding").alias("c"))) if centroids.limit(EXAMPLES + 1).count() <= EXAMPLES else centroids.select("cluster", F.col("embedding").alias("c"))
-    near = vectors.join(c, F.lit(True)).groupBy("vec_id").agg(F.min(F.struct(C.squared_distance(F.col("embedding"), F.col("c")).alias("d"), "cluster")).alias("x")).select("vec_id", F.col("x.cluster").alias("cluster"))
-    return long_form(vectors.join(near, "vec_id"), "cluster").groupBy("cluster", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    """(cluster, pos, x, n): means of the vectors nearest to each centroid."""
+    return long_form(nearest_centroid(vectors, centroids), "cluster").groupBy("cluster", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
 
 
 def cluster_groups(vectors: DataFrame, key: str, k: int | None = None) -> DataFrame:
@@ -202,17 +303,30 @@ def cluster_groups(vectors: DataFrame, key: str, k: int | None = None) -> DataFr
     return vectors.select(key, "vec_id", "embedding").groupBy(key).applyInArrow(run, f"{key} {kind}, vec_id long, cluster int, k int, silhouette double")
 
 
+def ranges(rows: DataFrame, score: str) -> DataFrame:
+    """``rows`` with columns part, one of at most 256 ranges of the numbers ``score`` (nulls in the first), and before, the rows of lower ranges."""
+    cuts = sorted(set(rows.approxQuantile(score, [i / 256 for i in range(1, 256)], 0.001)))
+    low = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
+    marked = rows.withColumn("part", F.size(F.filter(low, lambda c: c < F.col(score))))
+    counts = marked.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their places from 0 in order of a number, null where it is null; ranges of it are numbered side by side."""
+    some = ranges(rows.where(F.col(order).isNotNull()).withColumn("_v", F.col(order).cast("double")), "_v")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    return some.withColumn(name, place).drop("_v", "part", "before").unionByName(rows.where(F.col(order).isNull()).withColumn(name, F.lit(None).cast("long")))
+
+
 def roc_auc(rows: DataFrame, label: str, score: str, order: str) -> DataFrame:
     """One row: area under the curve by rank sums, ties ranked by ``order``; 0 if a class is absent.
 
     Rows are ranked within 256 ranges between approximate quantiles of the score, so that no task sorts the whole table.
     """
-    cuts = sorted(set(rows.approxQuantile(score, [i / 256 for i in range(1, 256)], 0.001)))
-    low = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
-    marked = rows.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s"), F.col(order).alias("o")).withColumn("part", F.size(F.filter(low, lambda c: c < F.col("s"))))
-    counts = marked.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.broadcast(counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
-    ranked = marked.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("s", "o"))).join(before, "part")
+    marked = ranges(rows.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s"), F.col(order).alias("o")), "s")
+    ranked = marked.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("s", "o")))
     sums = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("r") + F.col("before"))).alias("s"), F.sum((F.col("y") == 1).cast("long")).alias("p"), F.count("*").alias("n"))
     q = F.col("n") - F.col("p")
     return sums.select(F.when((F.col("p") == 0) | (q == 0), F.lit(0.0)).otherwise((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * q)).alias("auc"))

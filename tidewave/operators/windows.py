@@ -34,18 +34,33 @@ def merge_classes(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "label"))).where(F.col("place") <= most)
 
 
-def feature_stats(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """(key, feature, mean, deviation, p05, p95), populations' deviations."""
+def feature_stats(rows: DataFrame, key: str, features: list[str], exact: bool = True) -> DataFrame:
+    """(key, feature, mean, deviation, p05, p95), populations' deviations.
+
+    All features are aggregated in one pass, one row a key, and turned to rows after.  Exact percentiles keep the distinct values of a
+    key in one buffer; with ``exact`` false they are within 1/10000 of the rank, in bounded memory.
+    """
+    percentiles = (lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.95)))) if exact else (lambda c: F.percentile_approx(c, [0.05, 0.95], 10_000))
+
+    def of(f: str) -> Column:
+        c = F.col(f).cast("double")
+        return F.struct(F.lit(f).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation"), percentiles(c).alias("p"))
+
+    wide = rows.groupBy(key).agg(*(of(f).alias(f"_{i}") for i, f in enumerate(features)))
+    long = wide.select(key, F.explode(F.array(*(f"_{i}" for i in range(len(features))))).alias("x"))
+    return long.select(key, "x.feature", "x.mean", "x.deviation", F.col("x.p")[0].alias("p05"), F.col("x.p")[1].alias("p95"))
+
+
+def long_features(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(key, feature, value): one row for each feature of a row."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("x")
-    long = rows.select(key, pairs).select(key, "x.*")
-    return long.groupBy(key, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.expr("percentile(value, 0.05)").alias("p05"), F.expr("percentile(value, 0.95)").alias("p95"))
+    return rows.select(key, pairs).select(key, "x.*")
 
 
 def describe_difference(stats: DataFrame, seen: DataFrame, key: str, features: list[str], most: int = 3, least: float = 1.5) -> DataFrame:
-    """(key, feature, z, place, direction): features whose mean over ``seen`` is at least ``least`` deviations off, the furthest first."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("x")
-    now = seen.select(key, pairs).select(key, "x.*").groupBy(key, "feature").agg(F.avg("value").alias("value"))
-    z = now.join(stats, [key, "feature"]).where("deviation > 0").withColumn("z", (F.col("value") - F.col("mean")) / F.col("deviation")).where(F.abs("z") >= least)
+    """(key, feature, value, mean, z, place, direction): features whose mean over ``seen`` is at least ``least`` deviations off, the furthest first."""
+    wide = seen.groupBy(key).agg(*(F.avg(F.col(f).cast("double")).alias(f) for f in features))
+    z = long_features(wide, key, features).join(stats, [key, "feature"]).where("deviation > 0").withColumn("z", (F.col("value") - F.col("mean")) / F.col("deviation")).where(F.abs("z") >= least)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs("z")), "feature"))
     return z.withColumn("place", place).where(F.col("place") <= most).withColumn("direction", F.when(F.col("z") > 0, "higher").otherwise("lower"))
 
@@ -114,6 +129,30 @@ def merge_intervals(rows: DataFrame, key: str, gap: float) -> DataFrame:
     return marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("island")
 
 
+def onset_times(candidates: DataFrame, key: str, hop_s: float, interval: float = 0.05) -> DataFrame:
+    """(key, times): onsets (key, place) in order, each at least ``interval`` after the last one taken."""
+    in_order = candidates.groupBy(key).agg(F.sort_array(F.collect_list("place")).alias("p"))
+    none = F.array().cast("array<double>")
+    take = lambda s, p: F.when((F.size(s) == 0) | (p * F.lit(hop_s) - F.element_at(s, -1) >= interval), F.concat(s, F.array(p * F.lit(hop_s)))).otherwise(s)
+    # element_at of an empty array is never read: the first test is true
+    return in_order.select(key, F.aggregate("p", none, take).alias("times"))
+
+
+def pitch_summary(frames: DataFrame, key: str, t: str, f0: str) -> DataFrame:
+    """(key, median_f0, voiced_fraction, min_f0, max_f0, slope) of pitch frames; a frame is voiced if f0 is above 0.
+
+    The slope is that of semitones over time by least squares, 0 for fewer than two voiced frames or equal times: sums are pre-aggregated, no stream is gathered.
+    """
+    voiced = F.col(f0) > 0
+    y = F.when(voiced, 12 * F.log2(F.col(f0)))
+    only = lambda c: F.when(voiced, F.col(c))
+    out = frames.groupBy(key).agg(
+        F.expr(f"percentile(CASE WHEN {f0} > 0 THEN {f0} END, 0.5)").alias("median_f0"), F.avg(voiced.cast("double")).alias("voiced_fraction"), F.min(only(f0)).alias("min_f0"), F.max(only(f0)).alias("max_f0"),
+        F.regr_slope(y, only(t)).alias("slope"),
+    )
+    return out.fillna(0.0, ["median_f0", "min_f0", "max_f0", "slope"])
+
+
 def onset_candidates(rows: DataFrame, key: str, order: list[str], value: str, factor: float = 1.5, radius: int = 8, least: float = 0.05) -> DataFrame:
     """(key, place, value): interior local maxima above the median and mean deviation of the rows around."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -124,11 +163,24 @@ def onset_candidates(rows: DataFrame, key: str, order: list[str], value: str, fa
     return x.where(F.col("v") >= F.col("m") + factor * spread).select(key, "place", F.col("v").alias("value"))
 
 
+#: Rows whose samples a kernel's results are gathered for at once; bounds what a task holds beside its batch.
+KERNEL_ROWS = 256
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as views of its buffer; a null row is empty."""
+    flat = column.values.to_numpy(zero_copy_only=False)
+    at = column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _by_row(kernel, fields: list[tuple[str, pa.DataType]], key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [kernel(np.asarray(x, float)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields))], [key, *(n for n, _ in fields)])
+        for batch in batches:
+            for a in range(0, batch.num_rows, KERNEL_ROWS):
+                b = batch.slice(a, KERNEL_ROWS)
+                rows = [kernel(x.astype(float)) for x in arrays(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields))], [key, *(n for n, _ in fields)])
 
     return run
 
@@ -152,8 +204,7 @@ def spectra(rows: DataFrame, key: str, samples: str, size: int, hop: int, fft: i
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).to_pylist()
-            parts = [signal.spectrogram(np.asarray(v, float), size, hop, fft) for v in x]
+            parts = [signal.spectrogram(v.astype(float), size, hop, fft) for v in arrays(b.column(1))]
             n = [len(p) for p in parts]
             flat = np.concatenate(parts) if parts else np.zeros((0, fft // 2 + 1))
             frames = np.concatenate([np.arange(c) for c in n]).astype(np.int32)

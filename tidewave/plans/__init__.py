@@ -1 +1,3 @@
-"""Part of the engine: plans."""
+"""Queries over the tables; importing the package registers them all."""
+
+from tidewave.plans import queries, analysis  # noqa: F401, I001

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import columns as C
@@ -14,6 +14,8 @@ from tidewave.operators import vectors as V
 from tidewave.operators import windows as W
 from tidewave.sources import synthetic
 
+#: Vectors of a label that the MLP head learns from at most: training is a sequence of small steps on the driver.
+HEAD_ROWS = 200
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -61,7 +63,7 @@ def scalar_math(s, d):
     b = F.col("s_acctbal")
     return _t(s, d, "supplier").select(
         "s_suppkey", r6(C.clamp(b, 0.0, 5000.0)).alias("clamped"), r6(C.power_to_db(b)).alias("db"), r6(C.semitones(F.lit(440.0), b)).alias("st"),
-        r6(2595 * F.log10(1 + F.abs(b) / 700)).alias("mel"), C.next_power_of_two(F.col("s_suppkey") + 1).alias("pow2"),
+        r6(C.hz_to_mel(F.abs(b))).alias("mel"), C.next_power_of_two(F.col("s_suppkey") + 1).alias("pow2"),
     )
 
 
@@ -80,12 +82,11 @@ def seeded_random(s, d):
 
 @query(r"""
 SELECT p_partkey, CASE WHEN p_retailprice >= 1000 THEN printf('%.2f', p_retailprice / 1000) || ' kHz' WHEN p_retailprice >= 100 THEN CAST(CAST(floor(p_retailprice + 0.5) AS BIGINT) AS VARCHAR) || ' Hz' ELSE printf('%.2f', p_retailprice) || ' Hz' END AS hz,
-       upper(left(p_name, 1)) || substr(p_name, 2) AS name, to_base64(encode(p_type)) AS code, regexp_extract('band' || p_size || 'Hz', '^band(\d+)Hz$', 1) AS band
+       upper(left(p_name, 1)) || substr(p_name, 2) AS name, to_base64(encode(p_type)) AS code, CASE WHEN p_size > 5 THEN 'the ' || p_size || ' Hz band' ELSE 'level' || p_size || 'Hz' END AS band
 FROM part""")
 def text_functions(s, d):
-    price = F.col("p_retailprice")
-    hz = F.when(price >= 10000, F.concat(C.format_number(price / 1000), F.lit(" kHz"))).otherwise(C.format_hz(price))
-    return _t(s, d, "part").select("p_partkey", hz.alias("hz"), C.capitalize(F.col("p_name")).alias("name"), C.base64_plain(F.encode("p_type", "UTF-8")).alias("code"), F.regexp_extract(F.concat(F.lit("band"), F.col("p_size"), F.lit("Hz")), r"^band(\d+)Hz$", 1).alias("band"))
+    hz = C.format_hz(F.col("p_retailprice"))
+    return _t(s, d, "part").select("p_partkey", hz.alias("hz"), C.capitalize(F.col("p_name")).alias("name"), C.base64_plain(F.encode("p_type", "UTF-8")).alias("code"), C.band_label(F.concat(F.when(F.col("p_size") > 5, "band").otherwise("level"), F.col("p_size"), F.lit("Hz"))).alias("band"))
 
 
 @query(f"""
@@ -122,7 +123,11 @@ def envelope(s, d):
 WITH a AS (SELECT vec_id, {EMB} AS e FROM embeddings), b AS (SELECT vec_id, e, unnest(range(0, 128)) AS i FROM a)
 SELECT vec_id, round(sum(CASE WHEN i % 2 = 0 THEN e[i // 2 + 1] ELSE CAST((e[i // 2 + 1] + e[least(i // 2 + 2, 64)]) / 2 AS FLOAT) END), 4) + 0.0 AS total, count(*) AS n FROM b GROUP BY vec_id""")
 def resample_up(s, d):
-    out = W.apply_kernel(_t(s, d, "embeddings"), "vec_id", "embedding", lambda x: (float(signal.resample(x, 8000, 16000).astype(float).sum()), len(x) * 2), total="double", n="long")
+    def kernel(x):
+        y = signal.resample(x, 8000, 16000)
+        return float(y.astype(float).sum()), len(y)
+
+    out = W.apply_kernel(_t(s, d, "embeddings"), "vec_id", "embedding", kernel, total="double", n="long")
     return out.select("vec_id", (F.round("total", 4) + 0.0).alias("total"), "n")
 
 
@@ -179,10 +184,6 @@ def spectral_flux(s, d):
     return out.select("vec_id", F.posexplode("flux").alias("frame", "f")).select("vec_id", "frame", r6(F.col("f")).alias("strength"))
 
 
-@query()
-def spectral_peaks(s, d):
-    kernel = lambda m: ([list(p) for p in signal.find_peaks(m, 16000, 64, radius_hz=1500)],)
-    return W.apply_kernel(_spectra(s, d), "vec_id", "spectrum", kernel, peaks="array<array<double>>").select("vec_id", F.posexplode("peaks").alias("place", "p")).select("vec_id", "place", *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("hz", "level", "prominence"))))
 
 
 LONG = f"x AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS pos, unnest({EMB}) AS v FROM embeddings)"
@@ -261,13 +262,6 @@ def knn_predict(s, d):
     return V.predict(e, e).select("id", "label", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"""WITH {NEAR}, top AS (SELECT * FROM pairs WHERE f <> g QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, other) <= 5),
-v AS (SELECT id, truth, label, sum(1 / (distance + 1e-6)) AS w FROM top GROUP BY id, truth, label), p AS (SELECT id, truth, arg_max(label, w) AS predicted FROM v GROUP BY id, truth)
-SELECT truth AS label, predicted, count(*) AS n FROM p GROUP BY truth, predicted""")
-def cross_validate(s, d):
-    return V.cross_validate(_t(s, d, "embeddings"))
-
-
 @query(f"""WITH {LONG}, ce AS (SELECT label AS cluster, arg_min(vec_id, vec_id) AS id FROM embeddings GROUP BY label), cx AS (SELECT cluster, x.pos, x.v FROM ce JOIN x ON x.vec_id = ce.id),
 dd AS (SELECT x.vec_id, cluster, sum((x.v - cx.v) * (x.v - cx.v)) AS dist FROM x JOIN cx USING (pos) GROUP BY x.vec_id, cluster), ne AS (SELECT vec_id, arg_min(cluster, dist) AS cluster FROM dd GROUP BY vec_id)
 SELECT cluster, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) + 0.0 AS x, count(*) AS n FROM x JOIN ne USING (vec_id) GROUP BY cluster, pos""")
@@ -378,16 +372,8 @@ def knn_labels(s, d):
 # without SQL: tests hold these against plain forms
 
 
-@query()
-def yin_pitch(s, d):
-    out = W.apply_kernel(_t(s, d, "embeddings"), "vec_id", "embedding", lambda x: signal.yin(x, 600, 4000), f0="double", confidence="double")
-    return out.select("vec_id", r6(F.col("f0")).alias("f0"), r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
-def modulation_rate(s, d):
-    out = W.apply_kernel(_t(s, d, "embeddings"), "vec_id", "embedding", lambda x: signal.modulation(x, 0.02), rate="double", depth="double")
-    return out.select("vec_id", r6(F.col("rate")).alias("rate"), r6(F.col("depth")).alias("depth"))
 
 
 def _levels(s, d):
@@ -395,29 +381,12 @@ def _levels(s, d):
     return W.series(rows, "user_id", ["ts", "event_id"], "level")
 
 
-@query()
-def segmentation(s, d):
-    kernel = lambda v: ([list(map(float, x)) for x in signal.segment(v, 0.01)],)
-    out = W.apply_kernel(_levels(s, d), "user_id", "values", kernel, spans="array<array<double>>")
-    return out.select("user_id", F.explode("spans").alias("x")).select("user_id", *(r6(F.col("x")[i]).alias(n) for i, n in enumerate(("start", "stop", "peak", "syllables"))))
 
 
-@query()
-def syllables(s, d):
-    return W.apply_kernel(_levels(s, d), "user_id", "values", lambda v: (signal.count_syllables(v),), syllables="long")
 
 
-@query()
-def onset_periodicity(s, d):
-    rows = W.series(_t(s, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), "user_id", ["ts", "event_id"], "t")
-    out = W.apply_kernel(rows, "user_id", "values", lambda t: signal.onset_periodicity(t.tolist()), strength="double", period="double")
-    return out.select("user_id", r6(F.col("strength")).alias("strength"), F.round("period", 3).alias("period"))
 
 
-@query()
-def watch_mode(s, d):
-    rows = _t(s, d, "events").withColumn("score", F.col("value") / 500)
-    return W.watch(rows, "user_id", ["ts", "event_id"], "score", 0.2, 0.5, recent=5, reference=10)
 
 
 @query()
@@ -443,10 +412,12 @@ def learn_profile(s, d):
 
 @query()
 def mlp_head(s, d):
-    """Accuracy of an MLP head trained on a bounded sample of labelled vectors."""
-    rows = _t(s, d, "embeddings").orderBy("vec_id").limit(2000).select("vec_id", "label", "embedding").toPandas()
+    """Predictions of every vector by an MLP head that is trained on at most HEAD_ROWS vectors of each label, those of the least hash."""
+    e = _t(s, d, "embeddings")
+    names = sorted(str(r.label) for r in e.select("label").distinct().collect())
+    least = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    rows = e.withColumn("r", least).where(F.col("r") <= HEAD_ROWS).select("vec_id", "label", "embedding").orderBy("vec_id").toPandas()
     x = np.stack(rows["embedding"]).astype(float)
-    names = sorted({str(v) for v in rows["label"]})
     head = learning.MlpHead(names)
     head.train(x, [str(v) for v in rows["label"]])
     model = s.sparkContext.broadcast(head)
@@ -455,7 +426,7 @@ def mlp_head(s, d):
 
 
 def audio(s, d) -> DataFrame:
-    """One window of synthetic audio per user of the events: a call whose pitch the user sets, over noise."""
+    """One window of synthetic audio per user of the events: a call whose pitch the user sets, over noise.  The tables hold no audio; of events only the distinct users are read."""
 
     def make(batches):
         import pyarrow as pa
@@ -465,7 +436,7 @@ def audio(s, d) -> DataFrame:
             x = [synthetic.mix(synthetic.concat(synthetic.silence(0.25), synthetic.harmonic_call(0.475, 200 + i % 500), synthetic.silence(0.25)), synthetic.white_noise(0.975, 0.003, i + 1)).tolist() for i in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], ["window_id", "samples"])
 
-    return _t(s, d, "events").select(F.col("user_id").alias("window_id")).distinct().mapInArrow(make, "window_id long, samples array<float>")
+    return _t(s, d, "events").select(F.col("user_id").alias("window_id")).distinct().repartition(max(1, s.sparkContext.defaultParallelism), "window_id").mapInArrow(make, "window_id long, samples array<float>")
 
 
 @query()
@@ -476,10 +447,10 @@ def feature_extract(s, d):
 @query()
 def pitch_track(s, d):
     def kernel(x):
-        f = [p[1] for p in signal.track_pitch(x) if p[1] > 0]
-        return float(np.median(f)) if f else 0.0, len(f)
+        p = signal.summarize_pitch(signal.track_pitch(x))
+        return tuple(p[c] for c in ("median_f0", "voiced_fraction", "min_f0", "max_f0", "slope"))
 
-    return W.apply_kernel(audio(s, d), "window_id", "samples", kernel, f0="double", voiced="long")
+    return W.apply_kernel(audio(s, d), "window_id", "samples", kernel, f0="double", voiced="double", low="double", high="double", slope="double")
 
 
 @query()

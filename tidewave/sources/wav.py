@@ -1,4 +1,4 @@
-"""WAV files as a data source: spark.read.format("wav").load(path), and a decoder of its own."""
+"""WAV files as tables, read with Spark's binaryFile source and a decoder of our own."""
 
 from __future__ import annotations
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewave.constants import HOP_SAMPLES, SAMPLE_RATE_HZ, WINDOW_SAMPLES
-from tidewave.functions.machines import Framer, StreamScorer
+from tidewave.functions.labels import HUMAN_VOICE_CLASSES
+from tidewave.functions.machines import EventDetector, Framer, StreamScorer
 
 
 def _ordered(parts: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
@@ -49,3 +51,25 @@ def watch_stream(scores: DataFrame, watch: float, anomalous: float, **options) -
 
     state = "smoothed double, status string, candidate string, count int, history array<double>"
     return scores.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, t double, smoothed double, status string, changed boolean, drifting boolean, drift double", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def event_stream(windows: DataFrame, triggers: list[str], **options) -> DataFrame:
+    """(stream_id, t, samples, classes) to (stream_id, start, stop, type, confidence, syllables, human).
+
+    An event is given out once a later window shows that it is over: the last one of a stream waits for the next window.
+    Windows of a batch are taken in order of t; the state is the event that may still be merged and the end of the last one given out.
+    """
+    EventDetector(triggers, HUMAN_VOICE_CLASSES, **options)
+
+    def run(key, parts, state: GroupState) -> Iterator[pd.DataFrame]:
+        d = EventDetector(triggers, HUMAN_VOICE_CLASSES, **options)
+        if state.exists:
+            last_end, pending = state.get
+            d.last_end, d.pending = last_end, pickle.loads(pending) if pending else None
+        out = []
+        for r in _ordered(parts, "t").itertuples():
+            out += d.push(r.t, np.asarray(r.samples), [(c["label"], c["score"]) for c in r.classes])
+        state.update((float(d.last_end), pickle.dumps(d.pending) if d.pending else b""))
+        yield pd.DataFrame([(key[0], e["start"], e["end"], e["type"], e["confidence"], e["syllables"], e["human"]) for e in out], columns=["stream_id", "start", "stop", "type", "confidence", "syllables", "human"])
+
+    return windows.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, start double, stop double, type string, confidence double, syllables int, human boolean", "last_end double, pending binary", "append", GroupStateTimeout.NoTimeout)
