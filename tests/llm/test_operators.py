@@ -317,19 +317,139 @@ def test_language_model_of_odd_texts(spark):
     assert language_model.op9(odd.limit(0)).count() == 0
 
 
+def small_totals(r, customers, d0, d1, types):
+    size = len(customers)
+    return language_model.Totals(int(r["n"].sum()), types, customers, np.bincount(r["context"], minlength=size).astype(float), float(len(r)), float(types), np.zeros(0), np.zeros(0), d0, d1)
+
+
 def test_predictive_probabilities_sum_to_one():
     r = np.zeros(6, language_model.POSTING)
     r["word"], r["context"], r["n"] = [1, 1, 2, 3, 3, 4], [0, 1, 1, 0, 2, 2], [5, 2, 1, 40, 3, 1]
-    customers = np.bincount(r["context"], r["n"], language_model.CONTEXTS).astype(float)
-    t = language_model.Totals(52, 4, customers, np.bincount(r["context"], minlength=language_model.CONTEXTS).astype(float), 4.0, 0.5, 0.6)
+    t = small_totals(r, np.bincount(r["context"], r["n"], 3), 0.5, 0.6, 4)
     s = language_model.Seating(r, t, 1)
     for _ in range(5):
         s.sweep()
-        t.tables, t.root_tables = np.bincount(r["context"], s.tables, language_model.CONTEXTS), float(s.root_tables.sum())
-        own, root, back = s.probability()
-        for c in (0, 1, 2):
-            p = {w: root[i] * back[c] for i, w in enumerate((1, 2, 3, 4))} | {int(w): x for w, x, k in zip(r["word"], own, r["context"], strict=True) if k == c}
-            assert sum(p.values()) + t.unseen()[c] == pytest.approx(1, abs=1e-9)
+        t.tables, t.root_tables, t.root_customers = np.bincount(r["context"], s.tables, 3).astype(float), float(s.root_tables.sum()), float(s.tables.sum())
+        own = np.maximum(s.n - t.d1 * s.tables, 0) / (language_model.STRENGTH + t.customers[s.context])
+        for c in range(3):
+            p = t.back(np.array(c)) * s.root()
+            for w, x, k in zip(r["word"], own, r["context"], strict=True):
+                p[int(w) - 1] += x * (k == c)
+            assert p.sum() + t.unseen(np.array(c)) == pytest.approx(1, abs=1e-9)
+
+
+def partitions(n):
+    """Table sizes of all ways to seat n customers."""
+    if not n:
+        return [[]]
+    out = []
+    for p in partitions(n - 1):
+        out += [p[:i] + [p[i] + 1] + p[i + 1 :] for i in range(len(p))] + [[*p, 1]]
+    return out
+
+
+def test_tables_are_drawn_from_their_exact_distribution():
+    d, others, parent, n = 0.6, 7.0, 0.08, 5
+    weight = np.zeros(n + 1)
+    for sizes in partitions(n):
+        w = 1.0
+        for i, size in enumerate(sizes):
+            w *= (language_model.STRENGTH + d * (others + i)) * parent * np.prod([j - d for j in range(1, size)])
+        weight[len(sizes)] += w
+    got = language_model.seat(np.full(200_000, n), d, np.full(200_000, others), np.full(200_000, parent), np.random.default_rng(1), language_model.log_stirling(d))
+    assert np.allclose(np.bincount(got, minlength=n + 1) / 200_000, weight / weight.sum(), atol=0.005)
+
+
+class PlainSampler:
+    """Restaurants as lists of tables; customers leave and come back one by one."""
+
+    def __init__(self, groups, types, d0, d1, seed):
+        self.rng, self.types, self.d = random.Random(seed), types, (d0, d1)
+        self.rooms = {None: defaultdict(list)} | {c: defaultdict(list) for c, _ in groups}
+        self.customers = [(c, w) for (c, w), n in groups.items() for _ in range(n)]
+        for c, w in self.customers:
+            self.add(c, w)
+
+    def chance(self, c, w):
+        room, d = self.rooms.get(c, {}), self.d[c is not None]
+        n, t = sum(sum(x) for x in room.values()), sum(len(x) for x in room.values())
+        here = room.get(w, [])
+        parent = 0.5 / self.types if c is None else self.chance(None, w)
+        return (max(sum(here) - d * len(here), 0) + (1 + d * t) * parent) / (1 + n)
+
+    def add(self, c, w):
+        room, d = self.rooms[c], self.d[c is not None]
+        t = sum(len(x) for x in room.values())
+        parent = 0.5 / self.types if c is None else self.chance(None, w)
+        weights = [x - d for x in room[w]] + [(1 + d * t) * parent]
+        at = self.rng.choices(range(len(weights)), weights)[0]
+        if at < len(room[w]):
+            room[w][at] += 1
+            return
+        room[w].append(1)
+        if c is not None:
+            self.add(None, w)
+
+    def remove(self, c, w):
+        tables = self.rooms[c][w]
+        at = self.rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            if c is not None:
+                self.remove(None, w)
+
+    def sweep(self):
+        for c, w in self.customers:
+            self.remove(c, w)
+            self.add(c, w)
+
+
+def test_scores_against_a_plain_sampler(spark):
+    rng = np.random.default_rng(8)
+    follow = {w: rng.choice(12, 3) for w in range(12)}
+    texts = []
+    for _ in range(60):
+        w = [int(rng.integers(12))]
+        for _ in range(rng.integers(3, 14)):
+            w.append(int(rng.choice(follow[w[-1]])) if rng.random() < 0.8 else int(rng.integers(12)))
+        texts.append(" ".join(f"w{x}" for x in w))
+    docs = spark.createDataFrame([*enumerate(texts), (100, "w1 w2 unseen w3"), (101, texts[0]), (102, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") >= 100).collect()}
+    groups = Counter()
+    for t in texts:
+        groups.update(zip([0, *t.split()], [*t.split(), 1], strict=True))
+    n1, n2 = sum(n == 1 for n in groups.values()), sum(n == 2 for n in groups.values())
+    types = len({w for _, w in groups})
+    d1 = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95)
+    up = Counter(w for _, w in groups)
+    assert min(up.values()) > 2
+    plain = PlainSampler(groups, types, 0.5, d1, 3)
+    total = defaultdict(float)
+    for turn in range(30):
+        plain.sweep()
+        if turn >= 10:
+            for i, t in [*enumerate(texts), (100, "w1 w2 unseen w3"), (102, "")]:
+                w = t.split()
+                total[i] += sum(math.log10(plain.chance(c, x) if x in up else plain.chance(c, None) * 0 + unseen(plain, c)) for c, x in zip([0, *w], [*w, 1], strict=True)) / 20
+    for i, want in total.items():
+        assert rows[i].score == pytest.approx(want, abs=0.08 * rows[i].n_tokens + 0.05), i
+    assert rows[101].score == pytest.approx(rows[0].score)
+    assert sum(rows[i].score for i in range(60)) == pytest.approx(sum(total[i] for i in range(60)), rel=0.02)
+
+
+def unseen(plain, c):
+    """The chance of the type of unseen words: half the base."""
+    back = lambda room, d: (1 + d * sum(len(x) for x in room.values())) / (1 + sum(sum(x) for x in room.values()))
+    out = 0.5 * back(plain.rooms[None], plain.d[0])
+    return out * back(plain.rooms[c], plain.d[1]) if c in plain.rooms else out
+
+
+def test_counts_beyond_32_bits_add_up():
+    r = np.zeros(2, language_model.POSTING)
+    r["word"], r["n"] = 7, 2**32 - 1
+    m = language_model.merge(language_model.unpack(language_model.pack(r), language_model.POSTING))
+    assert len(m) == 1 and int(m["n"][0]) == 2**33 - 2
 
 
 def test_chat(spark):
