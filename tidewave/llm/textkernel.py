@@ -49,23 +49,25 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of whole texts; null counts as empty."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of runs of whole texts; null counts as empty.
+
+    Only ``rows`` rows of the column are copied at once.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        to = int(np.searchsorted(off, off[at] + limit, "right")) - 1
-        to = min(n, max(to, at + 1))
-        yield at, to, raw[off[at] : off[to]], off[at : to + 1] - off[at]
-        at = to
+    for start in range(0, len(column), rows):
+        part = pc.fill_null(column.slice(start, rows).cast(pa.large_string()), "")
+        n = len(part)
+        _, offsets, data = part.buffers()
+        off = np.frombuffer(offsets, np.int64, n + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            to = int(np.searchsorted(off, off[at] + limit, "right")) - 1
+            to = min(n, max(to, at + 1))
+            yield start + at, start + to, raw[off[at] : off[to]], off[at : to + 1] - off[at]
+            at = to
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
