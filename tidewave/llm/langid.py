@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from tidewave.llm.textkernel import text_slices
 
-#: The bounded sample that is learned from: rows per language, and characters taken of each row's whole text.
-SAMPLE_ROWS, SAMPLE_CHARS, TOTAL_CHARS = 160, 1500, 40_000
+#: The bounded sample that is learned from: rows per language, and characters taken of the middle of each row's text, 60 000 of a language together.
+SAMPLE_ROWS, SAMPLE_CHARS = 160, 375
 #: Parts that each language's texts are dealt to by their hash while the sample is chosen.
 SALTS = 64
-#: Texts are parsed in blocks of so many characters, so that a long one runs side by side with others.
-BLOCK_CHARS = 512
+#: Texts are parsed in blocks of so many characters side by side; a phrase that crosses into a block is followed until the parses agree.
+BLOCK_CHARS = 2048
 #: Phrases of the winner may not be shorter than this on average; below it the text is in no learned language.
 LEAST_PHRASE = 1.5
 UNDETERMINED = "und"
@@ -101,7 +101,11 @@ class Model:
         return _built, (tuple(sorted(self.texts.items())),)
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Phrases (texts x languages) of concatenated code sequences; ``starts`` has one entry more than texts."""
+        """Phrases (texts x languages) of concatenated code sequences; ``starts`` has one entry more than texts.
+
+        Each block is parsed as if a phrase began with it.  From the first character on which a phrase of that parse begins where one of the
+        text's own does, the two are the same; up to it, the text's phrases are counted by following the one that crosses into the block.
+        """
         k = len(self.languages)
         n = np.diff(starts)
         out = np.zeros((len(n), k), np.int64)
@@ -109,28 +113,59 @@ class Model:
         owner = np.repeat(np.arange(len(n)), parts)
         if not len(owner):
             return out
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.cumsum(parts) - parts
+        inner = np.arange(len(owner)) - np.repeat(first, parts)
         begin = starts[owner] + inner * BLOCK_CHARS
         length = np.minimum(BLOCK_CHARS, starts[owner + 1] - begin)
         order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right") if len(length) else []
-        state = np.repeat(self.roots[None, :], len(begin), 0).astype(np.int64)
-        count = np.ones((len(begin), k), np.int32)
+        alive = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), "right")
+        state = np.repeat(self.roots[None, :], len(begin), 0)
+        # whether a phrase of a block's own parse begins at a character, and its state after the block
+        begins = np.zeros((len(codes), k), bool)
+        at = begin[order]
         for t, m in enumerate(alive):
-            c = codes[begin[:m] + t].astype(np.int64)[:, None]
-            now = state[:m]
-            to = self.table[now * self.size + c]
-            stuck = to == 0
-            if t:
-                count[:m] += stuck & (now != self.roots)
-            again = self.table[self.roots * self.size + c]
-            # a letter that the language lacks is a phrase of its own
-            count[:m] += stuck & (again == 0)
-            state[:m] = np.where(stuck, np.where(again == 0, self.roots, again), to)
+            state[:m], begins[at[:m] + t] = self._step(state[:m], codes[at[:m] + t])
+        end = np.empty_like(state)
+        end[order] = state
+        before = np.zeros((len(codes) + 1, k), np.int64)
+        np.cumsum(begins, axis=0, out=before[1:])
+        count = before[begin + length] - before[begin]
+        for j in range(1, int(parts.max())):
+            block = first[parts > j] + j
+            now = end[block - 1].copy()
+            # open: the text's phrase goes on in this block and the parses have not met
+            open_ = now != self.roots
+            for t in range(int(length[block].max())):
+                open_ &= (t < length[block])[:, None]
+                rows = np.flatnonzero(open_.any(1))
+                if not len(rows):
+                    break
+                place = begin[block[rows]] + t
+                to, new = self._step(now[rows], codes[place])
+                met = new & begins[place] & open_[rows]
+                went = open_[rows] & ~met
+                # own phrases that began before the parses met are none of the text's
+                count[block[rows]] -= np.where(met, before[place] - before[begin[block[rows]]], 0)
+                count[block[rows]] += new & went
+                now[rows] = np.where(went, to, now[rows])
+                open_[rows] = went
+                done = went & (t + 1 == length[block[rows]])[:, None]
+                if done.any():
+                    # never met: all of the block's own phrases go, and the text's state is the one that was followed
+                    whole = before[place + 1] - before[begin[block[rows]]]
+                    count[block[rows]] -= np.where(done, whole, 0)
+                    end[block[rows]] = np.where(done, now[rows], end[block[rows]])
         np.add.at(out, owner, count)
         return out
 
+    def _step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one character of each row, and whether a phrase begins with it; a letter that a language lacks is a phrase of its own."""
+        c = codes.astype(np.int64)[:, None]
+        to = self.table[state * self.size + c]
+        stuck = to == 0
+        again = self.table[self.roots * self.size + c]
+        return np.where(stuck, np.where(again == 0, self.roots, again), to), stuck | (state == self.roots)
+
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in 0..1 and mean phrase length of every text."""
         names, scores, means = [], [], []
@@ -186,7 +221,7 @@ def learn(rows: DataFrame) -> Model:
     """A model of the rows (text, lang) with a non-null lang, from a bounded sample of them.
 
     Of each language the SAMPLE_ROWS texts least by a hash of the text are used, a text that repeats once, and of each at most
-    SAMPLE_CHARS characters from an inner place; TOTAL_CHARS at most of a language.
+    SAMPLE_CHARS characters of its middle.
     """
     x = rows.select("text", "lang").where("lang is not null and text is not null").withColumn("h", F.xxhash64("text", F.lit(11)))
     # only hashes are shuffled to choose the sample, first in SALTS parts of a language: the last step sees SAMPLE_ROWS of each part at most
@@ -194,13 +229,16 @@ def learn(rows: DataFrame) -> Model:
     for by in (["lang", "part"], ["lang"]):
         chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS)
     # SAMPLE_ROWS hashes of each language: small enough to broadcast
-    x = x.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first(F.substring("text", 1, 20 * SAMPLE_CHARS)).alias("text"))
+    # four times the characters wanted, from the middle of the whole text: those that are no letters fall away
+    size = 4 * SAMPLE_CHARS
+    middle = F.col("text").substr(F.greatest(F.lit(1), F.floor((F.length("text") - size) / 2).cast("int") + 1), F.lit(size))
+    x = x.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first(middle).alias("text"))
     pieces: dict[str, list[str]] = {}
     for row in x.select("lang", "h", "text").orderBy("lang", "h").collect():
         text = _fold(row.text)
         at = max(0, (len(text) - SAMPLE_CHARS) // 2)
         pieces.setdefault(row.lang, []).append(text[at : at + SAMPLE_CHARS])
-    texts = {k: " ".join(v)[:TOTAL_CHARS] for k, v in pieces.items()}
+    texts = {k: " ".join(v) for k, v in pieces.items()}
     return Model({k: v for k, v in texts.items() if v.strip()})
 
 
