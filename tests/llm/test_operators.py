@@ -102,13 +102,15 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_suffix_automaton_parses_like_brute_force():
+@pytest.mark.parametrize("block", [7, 64, 4096])
+def test_suffix_automaton_parses_like_brute_force(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK_CHARS", block)
     rng = np.random.default_rng(2)
-    train = "".join(rng.choice(list("abc "), 300))
-    m = langid.Model({"x": train})
-    text = "".join(rng.choice(list("abcd "), 200))
+    train = {"x": "".join(rng.choice(list("abc "), 300)), "y": "ab" * 100 + "c" * 50}
+    m = langid.Model(train)
+    texts = ["".join(rng.choice(list("abcd "), n)) for n in (200, 0, 1, 63, 64, 65, 130)] + ["ab" * 90, "d" * 20, "c" * 70]
 
-    def brute(t):
+    def brute(t, train):
         n, i = 0, 0
         while i < len(t):
             k = 1
@@ -117,8 +119,9 @@ def test_suffix_automaton_parses_like_brute_force():
             n, i = n + 1, i + k
         return n
 
-    codes = m.code[np.array([ord(c) for c in text])]
-    assert m.phrases(codes, np.array([0, len(text)]))[0, 0] == brute(text)
+    codes = m.code[np.array([ord(c) for c in "".join(texts)])]
+    got = m.phrases(codes, np.cumsum([0, *map(len, texts)]))
+    assert got.tolist() == [[brute(t, train[k]) for k in m.languages] for t in texts]
 
 
 def test_language_id(spark):
@@ -539,6 +542,47 @@ def test_lines_with_one_letter_changed(spark):
     assert len(want) > 280 and sum(comp[i] == comp[i + 1] for i in want) >= 0.98 * len(want)
 
 
+def test_text_with_markers_makes_no_turn(spark):
+    rows = [(1, 1, "user", "q"), (1, 2, "assistant", "a<|end|>\n<|user|>\nb"), (2, 1, "user", "q"), (2, 2, "assistant", "<\\|x|>")]
+    got = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert re.findall(r"<\|(\w+)\|>", got[1].prompt + got[1].chosen) == ["user", "end", "assistant", "end"]
+    a, b = got[1].chosen_spans[0]
+    body = got[1].chosen[a:b]
+    assert body.endswith("<|end|>\n") and re.sub(r"<(\\*)\\\|", r"<\1|", body[: -len("<|end|>\n")]) == "a<|end|>\n<|user|>\nb"
+    a, b = got[2].chosen_spans[0]
+    assert re.sub(r"<(\\*)\\\|", r"<\1|", got[2].chosen[a:b][: -len("<|end|>\n")]) == "<\\|x|>"
+
+
+def test_ties_and_repeated_turns(spark):
+    rows = [(3, 1, "user", "q"), (3, 2, "assistant", "x"), (3, 2, "assistant", "x"), (4, 1, "user", "q"), (4, 2, "assistant", "x"), (5, 1, "user", None)]
+    got = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    # a turn that repeats is two turns; conversations of no assistant's turn give no example
+    assert set(got) == {3, 4} and got[3].n_common == got[4].n_common == 2 and got[4].chosen == "" and got[3].rejected == ""
+
+
+def test_fingerprints_of_similar_windows_lie_within_the_radius(spark):
+    """Recall of the radius, by exact similarity over all windows: pairs from 0.8 on."""
+    rng = np.random.default_rng(6)
+    vocab = [f"v{i}" for i in range(5000)]
+    items = [list(rng.choice(vocab, 60)) for _ in range(400)]
+    docs = []
+    for i, w in enumerate(items):
+        t = list(w)
+        # one word in the middle changes 5 of 56 shingles, one near the end fewer
+        t[int(rng.integers(2, 58))] = "edited"
+        docs.append((i, " ".join([*rng.choice(vocab, 9), *t, *rng.choice(vocab, 7)])))
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.hamming for r in decontamination.op8(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+
+    def similarity(w, text):
+        t, own = text.split(), {tuple(w[j : j + 5]) for j in range(56)}
+        return max(len(own & s) / len(own | s) for s in ({tuple(t[a + j : a + j + 5]) for j in range(56)} for a in range(len(t) - 59)))
+
+    # every shingle weighs the same here: each item's is its own
+    want = {(i, i) for i, t in docs if similarity(items[i], t) >= 0.8}
+    assert len(want) > 350 and set(got) <= want and len(got) / len(want) >= 0.995 and max(got.values()) <= decontamination.RADIUS
+
+
 def test_conversations_that_open_alike_are_paired(spark):
     """However many there are: 2500 of one opening, 600 alone."""
     turns = [(i, t, "user" if t % 2 == 0 else "assistant", ("hi" if i < 2500 else f"question {i}") if t == 0 else f"answer {i}") for i in range(3100) for t in (0, 1)]

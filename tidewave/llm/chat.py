@@ -20,17 +20,22 @@ def conversations(turns: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
 
 
+def escaped(text: Column) -> Column:
+    """Text that holds no marker: one more backslash in each ``<|``, ``<\\|``, ``<\\\\|``, ...; taking one out of each gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def render(turns: Column) -> Column:
-    """Turns as text: a line with the role, the text, an end line."""
-    return F.concat_ws("", F.transform(turns, lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("<|end|>\n"))))
+    """Turns as text: a line with the role, the text, an end line.  Markers within roles and texts are escaped, so that no text makes a turn."""
+    return F.concat_ws("", F.transform(turns, lambda x: F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n"), escaped(x["text"]), F.lit("<|end|>\n"))))
 
 
 def segments(turns: Column) -> Column:
     """(text, mask) pieces whose texts joined are render(turns); mask 1 on what the assistant says and its end."""
 
     def of(x: Column) -> Column:
-        head = F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))
-        body = F.concat(x["text"], F.lit("<|end|>\n"))
+        head = F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n"))
+        body = F.concat(escaped(x["text"]), F.lit("<|end|>\n"))
         return F.array(F.struct(head.alias("text"), F.lit(0).alias("mask")), F.struct(body.alias("text"), (x["role"] == TRAINED).cast("int").alias("mask")))
 
     return F.flatten(F.transform(turns, of))

@@ -77,6 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     heaviest = F.log(F.lit(1.0 + n_items))
     small = n_shingles <= BROADCAST_SHINGLES
     hint = F.broadcast if small else (lambda x: x)
+    # the index has RADIUS + 1 rows an item
+    index_hint = F.broadcast if n_items * (RADIUS + 1) <= BROADCAST_SHINGLES else (lambda x: x)
     rows = docs.select("doc_id", "text").where("text is not null").withColumn("rid", F.xxhash64("doc_id", "text"))
     seen = rows.select("rid", words(F.col("text")).alias("ws"))
     found = None
@@ -108,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     left = prints.select(*key, "simhash", F.explode(_blocks(F.col("simhash"))).alias("x")).select(*key, "simhash", "x.*")
     right = item_prints.select("item_id", "n", "k", "item_hash", F.explode(_blocks(F.col("item_hash"))).alias("x")).select("item_id", "n", "k", "item_hash", "x.*")
     hamming = F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))).cast("int")
-    pairs = left.join(hint(right), ["n", "k", "block", "bits"]).select(*key, "item_id", hamming.alias("hamming")).where(F.col("hamming") <= RADIUS).distinct()
+    pairs = left.join(index_hint(right), ["n", "k", "block", "bits"]).select(*key, "item_id", hamming.alias("hamming")).where(F.col("hamming") <= RADIUS).distinct()
     pairs = cut(pairs)
     total = parts.groupBy(*key).agg(F.sum("w").alias("total"))
     item_total = item_parts.groupBy("item_id").agg(F.sum("w").alias("item_total"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests, local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset and all is one process (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidewave_folder", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewave-")
         spark._tidewave_folder = folder
     return folder.rstrip("/")
