@@ -2,13 +2,14 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import chat, decontamination, langid, language_model, line_dedup, mixing, neighbours, ngram_join, sharding, toxicity
+from tidewave.llm import chat, decontamination, langid, language_model, line_dedup, mixing, neighbours, ngram_join, sharding, store, toxicity
 from tidewave.llm import queries as llm
 from tidewave.llm.store import components
 
@@ -542,6 +543,45 @@ def test_lines_with_one_letter_changed(spark):
     assert len(want) > 280 and sum(comp[i] == comp[i + 1] for i in want) >= 0.98 * len(want)
 
 
+def test_line_dedup_takes_little_disk(spark, tmp_path, monkeypatch):
+    """Shuffles and tables that are no longer read do not stay: at most 3 x the input at any time."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(50)) for _ in range(10))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    sized = lambda folders: sum(f.stat().st_size for d in folders for f in Path(d).rglob("*") if f.is_file())
+    folders = [store.shared_folder(spark), *spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    floor, most = sized(folders), []
+
+    def cut(df):
+        out = store.cut(df)
+        most.append(sized(folders) - floor)
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    assert line_dedup.op3(spark.read.parquet(f"{tmp_path}/docs")).where("kept").count() == 15_000
+    assert max(most) < 3 * sized([f"{tmp_path}/docs"])
+
+
+def test_least_hashes_of_lines_with_many_and_few_distinct_runs(spark):
+    rng = random.Random(13)
+    lines = ["ab" * 300, "x" * 500, "short", "".join(rng.choice("abcdefgh ") for _ in range(2000)), "".join(rng.choice("abcdefgh ") for _ in range(100)), "abcdefghijklmnopqrstuvw" * 40]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, line string")
+    got = {r.doc_id: r.s for r in line_dedup._signed(docs).collect()}
+    want = {r.doc_id: sorted(r.s)[: line_dedup.SKETCH] for r in docs.select("doc_id", line_dedup.shingles(F.col("line"), line_dedup.SIGNED).alias("s")).collect()}
+    assert got == want and sorted(map(len, got.values())) == [1, 1, 2, 23, 24, 24]
+
+
+def test_lines_of_bands_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SAMPLE", 2)
+    monkeypatch.setattr(line_dedup, "PART", 16)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[:i % 60], f"x{i}", *base[i % 60 + 1 :]])) for i in range(150)]
+    comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(comp) == 150 and len(set(comp.values())) == 1
+
+
 def test_text_with_markers_makes_no_turn(spark):
     rows = [(1, 1, "user", "q"), (1, 2, "assistant", "a<|end|>\n<|user|>\nb"), (2, 1, "user", "q"), (2, 2, "assistant", "<\\|x|>")]
     got = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
