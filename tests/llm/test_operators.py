@@ -544,7 +544,7 @@ def test_lines_with_one_letter_changed(spark):
 
 
 def test_line_dedup_takes_little_disk(spark, tmp_path, monkeypatch):
-    """Shuffles and tables that are no longer read do not stay: at most 3 x the input at any time."""
+    """Shuffles and tables that are no longer read do not stay: at most 1.5 x the input after each table (2.04 where all stayed)."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
     rows = [(i, "\n".join(" ".join(word() for _ in range(50)) for _ in range(10))) for i in range(1500)]
@@ -560,7 +560,7 @@ def test_line_dedup_takes_little_disk(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(line_dedup, "cut", cut)
     assert line_dedup.op3(spark.read.parquet(f"{tmp_path}/docs")).where("kept").count() == 15_000
-    assert max(most) < 3 * sized([f"{tmp_path}/docs"])
+    assert max(most) < 1.5 * sized([f"{tmp_path}/docs"])
 
 
 def test_least_hashes_of_lines_with_many_and_few_distinct_runs(spark):
