@@ -456,6 +456,16 @@ def test_counts_beyond_32_bits_add_up():
     assert len(m) == 1 and int(m["n"][0]) == 2**33 - 2
 
 
+def test_words_rare_in_each_task_are_counted():
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * len(texts))], ["text", "held_out"])
+    total = Counter()
+    for texts in (["common common once", "common"], ["common other once"]):
+        for out in language_model._frequent(iter([batch(texts)])):
+            total.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)))
+    # three ends, four "common", two "once", one "other", and all ten
+    assert total[0] == 10 and sorted(total.values()) == [1, 2, 3, 4, 10]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "good"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (2, 3, "assistant", "bad"), (3, 0, "user", None), (4, 0, None, "x"), (4, 1, "assistant", None), (None, 0, "user", "lost")]
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))

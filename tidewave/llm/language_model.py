@@ -259,7 +259,7 @@ def _spread(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task: its training tokens (word 0), and each word that makes one in KNOWN of them, but no word of one token."""
+    """Of a task: its training tokens (word 0) and those of every word, so that sums over tasks are exact."""
     held, counts, total = [], [], 0
 
     def fold() -> None:
@@ -280,8 +280,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not total:
         return
     fold()
-    keep = (counts[0] * KNOWN >= total) & (counts[0] > 1)
-    word, n = np.append(held[0][keep], U64(0)).view(np.int64), np.append(counts[0][keep], total)
+    word, n = np.append(held[0], U64(0)).view(np.int64), np.append(counts[0], total)
     for a in range(0, len(word), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(word[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["word", "n"])
 
@@ -604,7 +603,7 @@ def score(docs: DataFrame, is_held_out) -> DataFrame:
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), is_held_out.alias("held_out"), "doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
     counted = cut(rows.select("text", "held_out").mapInArrow(frugal(_frequent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n_tokens = int(counted.where("word = 0").agg(F.sum("n")).head()[0] or 0)
-    # KNOWN words at most, the most frequent
+    # KNOWN words at most, the most frequent by exact counts
     frequent = counted.where("word <> 0").orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
     word, n = frequent["word"].to_numpy().view(U64), frequent["n"].to_numpy()
     lexicon = Lexicon(np.sort(word[:HEADS][n[:HEADS] * HEAD_SHARE >= n_tokens]), np.sort(word))
