@@ -592,6 +592,33 @@ def test_lines_of_bands_dealt_to_parts(spark, monkeypatch):
     assert len(comp) == 150 and len(set(comp.values())) == 1
 
 
+def test_lines_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """Lines of one passage after words of their own, few words or many: all links are found, and few pairs are compared exactly (208 in the second round, 25 058 before)."""
+    rng = random.Random(15)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, " ".join([*(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 7) if i % 2 else rng.randrange(18, 40))), passage])) for i in range(240)]
+    compared, links = [], line_dedup._links
+    monkeypatch.setattr(line_dedup, "_links", lambda docs, signed, pairs: compared.append(pairs.count()) or links(docs, signed, pairs))
+    comp = {r.doc_id: r.component for r in line_dedup.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [dense(line) for _, line in rows]
+    want = [(a, b) for a in range(240) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert len(want) > 5000 and all(comp[a] == comp[b] for a, b in want) and len({comp[i] for i in range(0, 240, 2)}) == 120
+    assert sum(compared) < 2400
+
+
+def test_bitmaps_bound_what_lines_share(spark):
+    rng = random.Random(16)
+    lines = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcd", "abcdefgh ") for n in (3, 5, 40, 300, 3000)]
+    lines += [line[: len(line) // 2] + line[len(line) // 2 + 3 :] for line in lines if len(line) > 20]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    signed = line_dedup.lines_of(docs).select("hash", "at").distinct()
+    maps = line_dedup._mapped(docs, signed, signed.select("hash"))
+    side = lambda x: maps.select(*[F.col(c).alias(f"{c}_{x}") for c in maps.columns])
+    reach = {(r.hash_a, r.hash_b): (r.n_a, r.reach) for r in side("a").crossJoin(side("b")).withColumn("reach", line_dedup._reach()).collect()}
+    sets = {r.hash: dense(r.line) for r in line_dedup.lines_of(docs).collect()}
+    assert len(reach) == len(sets) ** 2 > 400 and all(n == len(sets[a]) and len(sets[a] & sets[b]) <= most <= n for (a, b), (n, most) in reach.items())
+
+
 def test_text_with_markers_makes_no_turn(spark):
     rows = [(1, 1, "user", "q"), (1, 2, "assistant", "a<|end|>\n<|user|>\nb"), (2, 1, "user", "q"), (2, 2, "assistant", "<\\|x|>")]
     got = {r.chosen_id: r for r in chat.op10(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
