@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from tidewave.sources import synthetic
 
 #: Vectors of a label that the MLP head learns from at most: training is a sequence of small steps on the driver.
 HEAD_ROWS = 200
+#: Windows of audio made at once: 4 MB of samples.
+AUDIO_ROWS = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -399,8 +402,6 @@ def learn_profile(s, d):
     """Profile of every label: states, weights and thresholds, also through their compact form."""
 
     def run(table):
-        import pyarrow as pa
-
         x = V._matrix(table.sort_by("vec_id")["embedding"]).astype(np.float32)
         p = learning.learn_profile(x)
         score, _, _ = learning.score_windows(p, x)
@@ -429,12 +430,12 @@ def audio(s, d) -> DataFrame:
     """One window of synthetic audio per user of the events: a call whose pitch the user sets, over noise.  The tables hold no audio; of events only the distinct users are read."""
 
     def make(batches):
-        import pyarrow as pa
-
         for b in batches:
-            ids = b.column(0).to_pylist()
-            x = [synthetic.mix(synthetic.concat(synthetic.silence(0.25), synthetic.harmonic_call(0.475, 200 + i % 500), synthetic.silence(0.25)), synthetic.white_noise(0.975, 0.003, i + 1)).tolist() for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], ["window_id", "samples"])
+            for a in range(0, b.num_rows, AUDIO_ROWS):
+                part = b.column(0).slice(a, AUDIO_ROWS)
+                x = [synthetic.mix(synthetic.concat(synthetic.silence(0.25), synthetic.harmonic_call(0.475, 200 + i % 500), synthetic.silence(0.25)), synthetic.white_noise(0.975, 0.003, i + 1)) for i in part.to_pylist()]
+                ends = np.cumsum([0, *map(len, x)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(np.float32)))], ["window_id", "samples"])
 
     return _t(s, d, "events").select(F.col("user_id").alias("window_id")).distinct().repartition(max(1, s.sparkContext.defaultParallelism), "window_id").mapInArrow(make, "window_id long, samples array<float>")
 
