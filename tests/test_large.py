@@ -1,7 +1,12 @@
 """What tasks hold, and exact results on groups larger than those of the smallest tables."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
+from tidewave.functions.labels import HUMAN_VOICE_CLASSES
+from tidewave.functions.machines import EventDetector
+from tidewave.operators import windows as W
 from tidewave.plans import queries as Q
 from tidewave.sources import synthetic
 
@@ -16,3 +21,26 @@ def test_audio_is_made_a_few_windows_at_a_time(spark, monkeypatch):
     assert sum(b.num_rows for b in parts) == 500 and max(b.nbytes for b in parts) < 8e6
     x = synthetic.mix(synthetic.concat(synthetic.silence(0.25), synthetic.harmonic_call(0.475, 200 + 499), synthetic.silence(0.25)), synthetic.white_noise(0.975, 0.003, 500))
     assert parts[-1].column(1)[-1].as_py() == x.tolist()
+
+
+def _streams(n=40):
+    call = lambda i: synthetic.mix(synthetic.concat(synthetic.silence(0.25), synthetic.harmonic_call(0.475, 300 + 10 * i), synthetic.silence(0.25)), synthetic.white_noise(0.975, 0.003, i + 1)).tolist()
+    return [(["a", "b"][i % 2], [0.4875, 0.3, 5.0][i % 3] * i, call(i) if i % 7 else [0.0] * 15600, "Cat" if i % 5 else "Hum", 0.2 + 0.015 * (i * 7 % 40)) for i in range(n)]
+
+
+def test_events_of_a_stream_equal_the_machine_without_gathering_samples(spark):
+    kind = "stream_id string, t double, samples array<float>, label string, score double"
+    rows = _streams()
+    want = []
+    for s in ("a", "b"):
+        d = EventDetector(["Cat"], HUMAN_VOICE_CLASSES)
+        for _, t, x, label, score in sorted(r for r in rows if r[0] == s):
+            want += [(s, e["start"], e["end"], e["type"], e["confidence"], e["syllables"]) for e in d.push(t, np.asarray(x, np.float32), [(label, score)])]
+        want += [(s, e["start"], e["end"], e["type"], e["confidence"], e["syllables"]) for e in d.flush()]
+    found = W.detect_events(spark.createDataFrame(rows, kind).repartition(5), ["Cat"])
+    got = sorted(map(tuple, found.collect()))
+    assert len(want) > 10 and len(got) == len(want) and all(g[0] == w[0] and g[3:] == w[3:] and g[1:3] == pytest.approx(w[1:3]) for g, w in zip(got, sorted(want), strict=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "samples" not in plan[: plan.index("Exchange")] and "FlatMapGroups" not in plan
+
+

@@ -81,32 +81,46 @@ class EventDetector:
         self.last_end = event["end"]
         return [event]
 
-    def push(self, t: float, samples: np.ndarray, classes: list[tuple[str, float]]) -> list[dict]:
+    def search(self, t: float, samples: np.ndarray, classes: list[tuple[str, float]], describe: bool = True) -> tuple[bool, dict | None]:
+        """Whether a window has a trigger, and the event in it: of the window alone, whatever came before; without ``describe`` its features and pitch are left out."""
         hits = [c for c in classes if c[0] in self.triggers]
         best = max(hits, key=lambda c: c[1], default=None)
         if best is None or best[1] < self.score:
-            return self._emit()
+            return False, None
         hop = max(1, half_up(self.rate / 100))
         x = np.asarray(samples, float)
         env = levels(x[: len(x) // hop * hop].reshape(-1, hop))
         found = segment(env.astype(np.float32), hop / self.rate, most=self.most)
         if not found:
-            return []
+            return True, None
         s = max(found, key=lambda x: x[2])
         start, end = t + s[0], min(t + s[1], t + WINDOW_SECONDS)
         if end - start < self.least:
-            return []
-        a = int(np.floor(s[0] * self.rate))
-        audio = np.asarray(samples)[a : max(a + 1, int(np.ceil(s[1] * self.rate)))]
+            return True, None
         human = max([c[1] for c in classes if c[0] in self.human], default=0.0) >= self.human_score
-        event = {"start": start, "end": end, "type": best[0], "confidence": best[1], "syllables": s[3], "peak": s[2], "human": human, "features": extract(audio, self.rate), "pitch": track_pitch(audio, self.rate)}
-        if self.pending is not None and start - self.pending["end"] < HOP_SECONDS:
+        event = {"start": start, "end": end, "type": best[0], "confidence": best[1], "syllables": s[3], "peak": s[2], "human": human}
+        if describe:
+            a = int(np.floor(s[0] * self.rate))
+            audio = np.asarray(samples)[a : max(a + 1, int(np.ceil(s[1] * self.rate)))]
+            event |= {"features": extract(audio, self.rate), "pitch": track_pitch(audio, self.rate)}
+        return True, event
+
+    def take(self, triggered: bool, event: dict | None) -> list[dict]:
+        """What is over once a window's search is known; searches come in order of time."""
+        if not triggered:
+            return self._emit()
+        if event is None:
+            return []
+        if self.pending is not None and event["start"] - self.pending["end"] < HOP_SECONDS:
             self.pending = merge_events(self.pending, event, self.most)
             return []
         out = self._emit()
         self.pending = event
         return out
 
+    def push(self, t: float, samples: np.ndarray, classes: list[tuple[str, float]]) -> list[dict]:
+        return self.take(*self.search(t, samples, classes))
+
     def flush(self) -> list[dict]:
         return self._emit()
 

@@ -226,15 +226,37 @@ def features(windows: DataFrame, key: str = "window_id", samples: str = "samples
 
 
 def detect_events(windows: DataFrame, triggers: list[str], **options) -> DataFrame:
-    """(stream_id, start, stop, type, confidence, syllables): events of streams of (stream_id, t, samples, label, score) windows, in order of t."""
+    """(stream_id, start, stop, type, confidence, syllables): events of streams of (stream_id, t, samples, label, score) windows, in order of t.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        d = EventDetector(triggers, HUMAN_VOICE_CLASSES, **options)
-        out = []
-        for r in rows.sort_values("t").itertuples():
-            out += d.push(r.t, np.asarray(r.samples), [(r.label, r.score)])
-        out += d.flush()
-        return pd.DataFrame([(rows["stream_id"].iloc[0], e["start"], e["end"], e["type"], e["confidence"], e["syllables"]) for e in out], columns=["stream_id", "start", "stop", "type", "confidence", "syllables"])
-
-    return windows.groupBy("stream_id").applyInPandas(run, "stream_id string, start double, stop double, type string, confidence double, syllables int")
+    Windows are searched wherever they lie; only what was found, without samples, meets in the order of its stream, and is read row by row.
+    """
+    seen = pa.schema([("stream_id", pa.string()), ("t", pa.float64()), ("triggered", pa.bool_()), ("start", pa.float64()), ("end", pa.float64()), ("type", pa.string()), ("confidence", pa.float64()), ("syllables", pa.int32()), ("peak", pa.float64()), ("human", pa.bool_())])
+    given = pa.schema([("stream_id", pa.string()), ("start", pa.float64()), ("stop", pa.float64()), ("type", pa.string()), ("confidence", pa.float64()), ("syllables", pa.int32())])
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = EventDetector(triggers, HUMAN_VOICE_CLASSES, **options)
+        for b in batches:
+            number = lambda i: b.column(i).to_numpy(zero_copy_only=False).astype(float).tolist()  # noqa: B023, E731
+            rows = []
+            for stream, t, x, label, score in zip(b.column(0).to_pylist(), number(1), arrays(b.column(2)), b.column(3).to_pylist(), number(4), strict=True):
+                triggered, e = d.search(t, x, [(label, score)], describe=False)
+                rows.append({"stream_id": stream, "t": t, "triggered": triggered} | (e or {}))
+            yield pa.RecordBatch.from_pylist(rows, seen)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda stream, events: pa.RecordBatch.from_pylist([e | {"stream_id": stream, "stop": e["end"]} for e in events], given)
+        d, stream = None, None
+        for b in batches:
+            for r in b.to_pylist():
+                if d is None or r["stream_id"] != stream:
+                    if d is not None:
+                        yield rows(stream, d.flush())
+                    d, stream = EventDetector(triggers, HUMAN_VOICE_CLASSES, **options), r["stream_id"]
+                if out := d.take(r["triggered"], r if r["start"] is not None else None):
+                    yield rows(stream, out)
+        if d is not None:
+            yield rows(stream, d.flush())
+
+    columns = lambda s: ", ".join(f"{f.name} {({pa.string(): 'string', pa.float64(): 'double', pa.bool_(): 'boolean', pa.int32(): 'int'})[f.type]}" for f in s)
+    found = windows.select(F.col("stream_id").cast("string"), F.col("t").cast("double"), "samples", "label", F.col("score").cast("double")).mapInArrow(search, columns(seen))
+    return found.repartition("stream_id").sortWithinPartitions("stream_id", F.col("t").asc_nulls_last()).mapInArrow(fold, columns(given))
