@@ -1,14 +1,18 @@
 """What tasks hold, and exact results on groups larger than those of the smallest tables."""
 
+import time
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tidewave.functions import learning
 from tidewave.functions.labels import HUMAN_VOICE_CLASSES
 from tidewave.functions.machines import EventDetector
+from tidewave.operators import suites
 from tidewave.operators import windows as W
 from tidewave.plans import queries as Q
 from tidewave.sources import synthetic
@@ -68,3 +72,54 @@ def test_states_keep_all_their_distances(spark, many, name):
     assert len(got) == len(want) and rows(got) == rows(want)
 
 
+def test_clusters_and_thresholds_equal_plain_forms():
+    """Products of matrices against differences, also far from zero and with copies; n rows of pairs are never held."""
+    rng = np.random.default_rng(6)
+    for x in (np.cumsum(rng.normal(size=(600, 5)), 0) + 1e4, np.repeat(rng.normal(size=(3, 6)), 40, 0), rng.standard_t(2, size=(500, 4)) * [1e-3, 1, 1e3, 1]):
+        x = x.astype(np.float32)
+        for k in (2, 3):
+            label, centres, _ = learning.kmeans(x, k)
+            assert (learning.nearest(x, centres) == learning.squared_distances(x, centres).argmin(1)).all()
+            far = np.sqrt(learning.squared_distances(x, x))
+            n, want = np.bincount(label, minlength=k), []
+            for i, own in enumerate(label):
+                others = [far[i, label == c].mean() for c in range(k) if c != own and n[c]]
+                if n[own] >= 2 and others:
+                    a, b = far[i, label == own].sum() / (n[own] - 1), min(others)
+                    want.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+            assert abs(learning.silhouette(x, label, k) - np.mean(want)) < 1e-7
+            blocks, scores = len(x) // 12, []
+            for b in range(blocks):
+                a, z = b * (len(x) // blocks), len(x) if b == blocks - 1 else (b + 1) * (len(x) // blocks)
+                out, best = np.r_[:a, z : len(x)], np.ones(z - a)
+                for c in range(k):
+                    own = x[out][label[out] == c]
+                    if len(own) >= 2:
+                        m, v, _ = learning.fit_gaussian(own)
+                        best = np.minimum(best, learning.distance_score(learning.mahalanobis(x[a:z], m, v), learning.distribution(learning.mahalanobis(own, m, v))))
+                scores.append(np.percentile(best, 90))
+            spread = max(max(scores) - np.percentile(scores, 75), 0.05)
+            watch = float(np.clip(max(0.55, max(scores) + 0.5 * spread), 0.55, 0.9))
+            assert learning.derive_thresholds(x, label, k)[0] == pytest.approx(watch, abs=1e-6)
+
+
+def test_profile_of_a_large_label_is_learned_in_time():
+    """Ten thousand windows: pairs and blocks by matrix products, about ten seconds of CPU where it took more than a minute."""
+    x, began = np.random.default_rng(7).normal(size=(10_000, 64)).astype(np.float32), time.process_time()
+    learning.learn_profile(x)
+    assert time.process_time() - began < 60
+
+
+def test_clips_of_large_labels_stay_apart(spark, tmp_path):
+    """More than 12000 windows of a label: its clips are not those of another label."""
+    rows = spark.range(26_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 13_000, 0).otherwise(2).alias("label"), F.array((F.col("id") % 7).cast("float"), (F.col("id") % 5).cast("float")).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suites, "anomaly_scores", lambda windows: got.setdefault("w", windows))
+        m.setattr(suites, "anomaly_auc", lambda scores: scores)
+        Q.QUERIES["anomaly_suite"](spark, str(tmp_path))
+    clips = got["w"].groupBy("clip").count()
+    assert clips.agg(F.max("count")).head()[0] == 6 and clips.count() == 2 * 2167
+
+

@@ -8,8 +8,10 @@ from tidewave.constants import PROFILE_SCHEMA_VERSION
 from tidewave.functions.signal import from_half, random_numbers, to_half
 
 
-#: Rows whose distances to all others are held at once.
-BLOCK_ROWS = 256
+#: Rows and columns of a block of distances that is held at once.
+BLOCK_ROWS, TILE = 256, 1024
+#: Models that are fitted at once, each without one block.
+FITS = 16
 
 
 def seed_centroids(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -35,11 +37,29 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre nearest to each row, the first of equals: by products of matrices, and where two centres are nearly as near by differences."""
+    out = np.empty(len(x), np.int64)
+    mean = centres.astype(float).mean(0)
+    c = centres.astype(float) - mean
+    own = np.square(c).sum(1)
+    for a in range(0, len(x), TILE):
+        y = x[a : a + TILE].astype(float) - mean
+        d = own - 2 * (y @ c.T)
+        best = d.argmin(1)
+        if len(c) > 1:
+            two = np.partition(d, 1, axis=1)
+            doubt = np.flatnonzero(~(two[:, 1] - two[:, 0] > 1e-9 * (np.square(y).sum(1) + own.max())))
+            best[doubt] = squared_distances(x[a + doubt], centres).argmin(1)
+        out[a : a + TILE] = best
+    return out
+
+
 def lloyd(x: np.ndarray, k: int, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     centres = seed_centroids(x, k, seed)
     label = np.zeros(len(x), np.int64)
     for _ in range(iterations):
-        new = squared_distances(x, centres).argmin(1)
+        new = nearest(x, centres)
         moved = (new != label).any()
         label = new
         for c in range(k):
@@ -57,41 +77,72 @@ def kmeans(x: np.ndarray, k: int, iterations: int = 50, seed: int = 1, restarts:
     return min((lloyd(x, k, iterations, seed + 7919 * r) for r in range(max(1, restarts))), key=lambda c: c[2])
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All pairs' distances by a product of matrices; small ones, in which that loses digits, by differences."""
+    size = np.square(x).sum(1)[:, None] + np.square(y).sum(1)
+    d = size - 2 * (x @ y.T)
+    i, j = np.nonzero(~(d > 1e-6 * size))
+    for a in range(0, len(i), TILE):
+        gap = x[i[a : a + TILE]] - y[j[a : a + TILE]]
+        d[i[a : a + TILE], j[a : a + TILE]] = np.einsum("id,id->i", gap, gap)
+    return np.sqrt(d, out=d)
+
+
+def silhouettes(x: np.ndarray, clusterings: list[tuple[int, np.ndarray]]) -> list[float]:
+    """The silhouette of each (k, labels): all from one pass over the pairs, of which BLOCK_ROWS x TILE are held."""
+    if len(x) < 3 or all(k < 2 for k, _ in clusterings):
+        return [0.0] * len(clusterings)
+    member = np.concatenate([np.eye(k)[label] for k, label in clusterings], 1)
+    y = x.astype(float) - x.astype(float).mean(0)
+    sums = np.zeros((len(x), member.shape[1]))
+    for a in range(0, len(x), BLOCK_ROWS):
+        z = min(len(x), a + BLOCK_ROWS)
+        sums[a:z] += _distances(y[a:z], y[a:z]) @ member[a:z]
+        for b in range(z, len(x), TILE):  # each pair once
+            d = _distances(y[a:z], y[b : b + TILE])
+            sums[a:z] += d @ member[b : b + TILE]
+            sums[b : b + TILE] += d.T @ member[a:z]
+    ends = np.cumsum([0, *(k for k, _ in clusterings)])
+    return [_mean_silhouette(sums[:, a:z], label, k) for (k, label), a, z in zip(clusterings, ends[:-1], ends[1:], strict=True)]
+
+
+def _mean_silhouette(sums: np.ndarray, label: np.ndarray, k: int) -> float:
+    n, rows = np.bincount(label, minlength=k), np.arange(len(label))
+    means = np.where(n > 0, sums / np.maximum(n, 1), np.inf)
+    means[rows, label] = np.inf
+    b = means.min(1) if k > 1 else np.full(len(label), np.inf)
+    a = sums[rows, label] / np.maximum(n[label] - 1, 1)
+    some = (n[label] >= 2) & np.isfinite(b)
+    top = np.maximum(a, b)[some]
+    return float(np.where(top > 0, (b[some] - a[some]) / np.where(top > 0, top, 1), 0.0).mean()) if some.any() else 0.0
+
+
 def silhouette(x: np.ndarray, label: np.ndarray, k: int) -> float:
     """Mean over members of clusters of two at least; 0 if undefined."""
-    if k < 2 or len(x) < 3:
-        return 0.0
-    # blocks of rows: no more than BLOCK_ROWS x n distances are held
-    sums = np.empty((len(x), k))
-    for a in range(0, len(x), BLOCK_ROWS):
-        d = np.sqrt(squared_distances(x, x[a : a + BLOCK_ROWS])).T
-        sums[a : a + BLOCK_ROWS] = np.stack([d[:, label == c].sum(1) for c in range(k)], 1)
-    n = np.bincount(label, minlength=k)
-    scores = []
-    for i, own in enumerate(label):
-        others = [sums[i, c] / n[c] for c in range(k) if c != own and n[c]]
-        if n[own] < 2 or not others:
-            continue
-        a, b = sums[i, own] / (n[own] - 1), min(others)
-        scores.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(scores)) if scores else 0.0
+    return silhouettes(x, [(k, label)])[0]
 
 
 def select_clustering(x: np.ndarray, low: int = 1, high: int = 5, fraction: float = 0.08, margin: float = 0.05, least: float = 0.6, seed: int = 1) -> tuple[int, np.ndarray]:
     """(k, labels): more clusters must earn their place by silhouette."""
+    return scored_clustering(x, low, high, fraction, margin, least, seed)[:2]
+
+
+def scored_clustering(x: np.ndarray, low: int = 1, high: int = 5, fraction: float = 0.08, margin: float = 0.05, least: float = 0.6, seed: int = 1) -> tuple[int, np.ndarray, float]:
+    """(k, labels, silhouette) of select_clustering."""
     if not len(x):
         raise ValueError("no vectors to cluster")
     low = max(1, low)
-    k, label = low, kmeans(x, low, seed=seed)[0]
-    best = silhouette(x, label, low)
+    found = [(low, kmeans(x, low, seed=seed)[0])]
     for c in range(low + 1, max(low, min(high, len(x))) + 1):
         other = kmeans(x, c, seed=seed)[0]
-        if np.bincount(other, minlength=c).min() < max(2, int(np.ceil(len(x) * fraction))):
-            continue
-        s = silhouette(x, other, c)
+        if np.bincount(other, minlength=c).min() >= max(2, int(np.ceil(len(x) * fraction))):
+            found.append((c, other))
+    scores = silhouettes(x, found)
+    (k, label), best = found[0], scores[0]
+    for (c, other), s in zip(found[1:], scores[1:], strict=True):
         if s >= least and s > best + margin:
             k, label, best = c, other, s
-    return k, label
+    return k, label, best
 
 
 def fit_gaussian(x: np.ndarray, shrinkage: float = 0.25, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, int]:
@@ -134,22 +185,41 @@ def distance_score(d: np.ndarray, dist: dict) -> np.ndarray:
 
 
 def derive_thresholds(x: np.ndarray, label: np.ndarray, k: int, shrinkage: float = 0.25, block: int = 12, p: float = 90) -> tuple[float, float]:
-    """(watch, anomalous) from contiguous blocks, each scored against models fitted without it."""
+    """(watch, anomalous) from contiguous blocks, each scored against models fitted without it.
+
+    A state's model without a block comes from its sums less the block's; distances of all members to the models of FITS blocks come from one product of matrices.
+    """
     blocks = len(x) // max(1, block)
     if blocks < 3:
         return 0.75, 0.9
     size, scores = len(x) // blocks, []
-    for b in range(blocks):
-        a, z = b * size, len(x) if b == blocks - 1 else (b + 1) * size
-        out = np.ones(len(x), bool)
-        out[a:z] = False
-        best = np.ones(z - a)
-        for c in range(k):
-            members = x[out & (label == c)]
-            if len(members) >= 2:
-                m, v, _ = fit_gaussian(members, shrinkage)
-                best = np.minimum(best, distance_score(mahalanobis(x[a:z], m, v), distribution(mahalanobis(members, m, v))))
-        scores.append(np.percentile(best, p))
+    ends = [(b * size, len(x) if b == blocks - 1 else (b + 1) * size) for b in range(blocks)]
+    best = np.ones(len(x))
+    for c in range(k):
+        at = np.flatnonzero(label == c)
+        if len(at) < 2:
+            continue
+        x64 = x.astype(float)
+        y = x64[at] - (mean := x64[at].mean(0))
+        both = np.concatenate((np.square(y), y), 1)
+        whole = both.sum(0)
+        for f in range(0, blocks, FITS):
+            some = [(a, z, *np.searchsorted(at, (a, z))) for a, z in ends[f : f + FITS]]
+            some = [s for s in some if len(at) - (s[3] - s[2]) >= 2]
+            if not some:
+                continue
+            n = np.array([len(at) - (j - i) for _, _, i, j in some], float)[:, None]
+            less = whole - np.stack([both[i:j].sum(0) for _, _, i, j in some])
+            d = x.shape[1]
+            m = less[:, d:] / n
+            var = np.maximum(0, less[:, :d] - n * np.square(m)) / np.maximum(1, n - 1)
+            w = np.minimum(1.0, shrinkage / np.maximum(1.0, n / 8))
+            v = np.maximum(1e-6, (1 - w) * var + w * var.mean(1, keepdims=True))
+            far = np.concatenate((1 / v, -2 * m / v), 1) @ both.T + (np.square(m) / v).sum(1, keepdims=True)
+            far = np.sqrt(np.maximum(far, 0) / d)
+            for (a, z, i, j), row, mm, vv in zip(some, far, m, v, strict=True):
+                best[a:z] = np.minimum(best[a:z], distance_score(mahalanobis(x[a:z], mean + mm, vv), distribution(np.concatenate((row[:i], row[j:])))))
+    scores = [np.percentile(best[a:z], p) for a, z in ends]
     worst, spread = max(scores), max(max(scores) - np.percentile(scores, 75), 0.05)
     watch = float(np.clip(max(0.55, worst + 0.5 * spread), 0.55, 0.9))
     return watch, float(np.clip(max(watch + 0.05, worst + 2 * spread), watch + 0.05, 0.97))
