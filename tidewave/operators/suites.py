@@ -30,8 +30,10 @@ def anomaly_scores(windows: DataFrame) -> DataFrame:
         profile = learning.learn_profile(x[learned & accepted].astype(np.float32))
         score, _, _ = learning.score_windows(profile, x)
         clip, abnormal = table["clip"].to_numpy(), table["abnormal"].to_numpy()
-        ids = np.unique(clip[~learned])
-        out = [(int(c), int(abnormal[clip == c][0]), float(np.percentile(score[(clip == c) & ~learned], 90))) for c in ids]
+        # rows lie in order of clip
+        ids, starts = np.unique(clip[~learned], return_index=True)
+        parts = np.split(score[~learned], starts[1:]) if len(ids) else []
+        out = [(int(c), int(abnormal[i]), float(np.percentile(s, 90))) for c, i, s in zip(ids, np.searchsorted(clip, ids), parts, strict=True)]
         return pa.table({"machine": pa.array([table["machine"][0].as_py()] * len(out), table.schema.field("machine").type), "clip": pa.array([o[0] for o in out], pa.int64()), "abnormal": pa.array([o[1] for o in out], pa.int32()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     kind = windows.schema["machine"].dataType.simpleString()

@@ -427,5 +427,5 @@ def anomaly_suite(s, d):
     """Two machines of each label's vectors: clips of six windows, a third of them from another label."""
     e = _t(s, d, "embeddings").select("vec_id", "label", C.doubles(F.col("embedding")).alias("vector"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.withColumn("i", place).select(F.pmod("label", F.lit(2)).alias("machine"), (F.col("label") * 1000 + F.floor(F.col("i") / 6)).alias("clip"), (F.col("label") >= 8).cast("int").alias("abnormal"), F.lit(True).alias("accepted"), F.col("i").cast("double").alias("t"), "vector")
+    rows = e.withColumn("i", place).select(F.pmod("label", F.lit(2)).alias("machine"), (F.col("label").cast("long") * (1 << 32) + F.floor(F.col("i") / 6)).alias("clip"), (F.col("label") >= 8).cast("int").alias("abnormal"), F.lit(True).alias("accepted"), F.col("i").cast("double").alias("t"), "vector")
     return suites.anomaly_auc(suites.anomaly_scores(rows))
